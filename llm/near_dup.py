@@ -6,9 +6,10 @@
    ``min_overlap`` retained values, so each class lists only the rarest ``k - min_overlap + 1`` of its own: values of
    passages that many documents share are left out of the lists first.
 3. In a list, all members meet the two leaders (smallest id; most widely shared values), never each other.  Linked
-   classes merge into components; then the members of a list that are not in its largest component meet all members of
+   classes merge into components; then the members of a list that are not in its largest component meet members of
    other components.  Pairs inside a component are never built, so a group of copies costs as much as it has members,
-   and no link between different components is lost.
+   and no link between different components is lost.  Sizes and places in the lists bound what two classes can share:
+   groups of members whose bound falls short are passed over as groups, before any pair is built.
 4. The sketch of the union estimates the similarity of a pair and filters; the full hashed sets confirm.
 
 Cases: a null text, or one without words, has no shingles and links with nothing.  A text with fewer than ``words``
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from llm.common import short_batches, staged, table
 
-#: Retained values; fewest that two linked classes with more than SKETCH shingles share (a share of 0.85 or 0.8 gives
-#: 29 and 28 on average: fewer than 10 happens less than once in 10^9 pairs).
-SKETCH, MIN_OVERLAP = 32, 10
+#: Retained values; fewest that two linked classes with more than SKETCH shingles share (a similarity of 0.85 or 0.8 gives
+#: 29.4 and 28.4 on average, with deviations of 1.5 and 1.8).
+SKETCH, MIN_OVERLAP = 32, 19
 #: Below the threshold by so much, in similarity, an estimate from SKETCH values still passes (about 5 deviations).
 SLACK = 0.32
 
@@ -89,15 +90,17 @@ def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, id, weight): the inverted lists; weight is how widely the values of id are shared."""
+    """(value, id, weight, n, place): the inverted lists; weight is how widely the values of id are shared, place the
+    rarity of the value among those of id (1: the rarest), n the number of shingles, SKETCH + 1 standing for more."""
     entries = classes.select("id", "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = F.least(F.col("n"), F.lit(SKETCH))
     least = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * percent / F.lit(100.0))).otherwise(F.lit(MIN_OVERLAP))
     own = entries.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum("df").alias("weight"))
     # values that nobody else has are the rarest: they take the first places of a class, and list nothing
-    places = (held - least + 1 - (held - F.size("found"))).cast("int")
-    return own.where(places > 0).select("id", "weight", F.explode(F.slice("found", F.lit(1), places)).alias("x")).select("x.value", "id", "weight")
+    alone = held - F.size("found")
+    own = own.withColumn("alone", alone).withColumn("open", (held - least + 1 - F.col("alone")).cast("int")).where("open > 0")
+    return own.select("id", "weight", F.least("n", F.lit(SKETCH + 1)).cast("int").alias("n"), "alone", F.posexplode(F.slice("found", F.lit(1), F.col("open"))).alias("at", "x")).select("x.value", "id", "weight", "n", (F.col("alone") + F.col("at") + 1).cast("int").alias("place"))
 
 
 def _leader_pairs(lists: DataFrame) -> DataFrame:
@@ -107,14 +110,21 @@ def _leader_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _crossing_pairs(lists: DataFrame, component: DataFrame) -> DataFrame:
+def _crossing_pairs(lists: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list that lie in different components; members of the largest meet only the others."""
-    placed = lists.select("value", "id").join(component, "id", "left").select("value", "id", F.coalesce("component", "id").alias("c"))
+    placed = lists.select("value", "id", "n", "place").join(component, "id", "left").select("value", "id", "n", "place", F.coalesce("component", "id").alias("c"))
     sizes = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m"))
     major = sizes.groupBy("value").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("top.c").alias("major"))
-    live = placed.join(major, "value")
-    minor = live.where("c <> major").select("value", F.col("id").alias("i"), F.col("c").alias("ci"))
-    met = minor.join(live.select("value", "id", "c"), "value").where("ci <> c")
+    live = staged(placed.join(major, "value"), "live")
+    minor = live.where("c <> major").select("value", "n", "place", F.col("id").alias("i"), F.col("c").alias("ci"))
+    # both have their rarer values to themselves at best: what is left must reach the overlap that their sizes ask for
+    kinds = live.select("value", F.col("n").alias("n2"), F.col("place").alias("place2")).distinct()
+    small = (F.col("n") <= SKETCH) & (F.col("n2") <= SKETCH)
+    needed = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100.0 + percent))
+    reach = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1 >= needed
+    viable = minor.select("value", "n", "place").distinct().join(kinds, "value").where(~small | reach)
+    others = live.select("value", F.col("n").alias("n2"), F.col("place").alias("place2"), "id", "c")
+    met = minor.join(viable, ["value", "n", "place"]).join(others, ["value", "n2", "place2"]).where("ci <> c")
     return met.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
 
 
@@ -180,7 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = classes.select("id", "n", "sketch")
     first = staged(_confirmed(staged(_filtered(_leader_pairs(lists), nodes, percent), "pairs"), docs, words, percent), "links")
     found = staged(components(first), "components")
-    rest = staged(_filtered(_crossing_pairs(lists, found), nodes, percent), "pairs")
+    rest = staged(_filtered(_crossing_pairs(lists, found, percent), nodes, percent), "pairs")
     if rest.limit(1).count():
         found = components(first.union(_confirmed(rest, docs, words, percent)))
     place = classes.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("of_class"))

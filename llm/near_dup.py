@@ -9,7 +9,9 @@
    classes merge into components; then the members of a list that are not in its largest component meet members of
    other components.  Pairs inside a component are never built, so a group of copies costs as much as it has members,
    and no link between different components is lost.  Sizes and places in the lists bound what two classes can share:
-   groups of members whose bound falls short are passed over as groups, before any pair is built.
+   groups of members whose bound falls short are passed over as groups, before any pair is built.  Where a list would
+   still give more than ``WIDE`` pairs, its members are listed anew under all their shingles, the rarest first, and the same
+   bounds, now exact, decide which of them meet.
 4. The sketch of the union estimates the similarity of a pair and filters; the full hashed sets confirm.
 
 Cases: a null text, or one without words, has no shingles and links with nothing.  A text with fewer than ``words``
@@ -32,6 +34,8 @@ from llm.common import short_batches, staged, table
 #: Retained values; fewest that two linked classes with more than SKETCH shingles share (a similarity of 0.85 or 0.8 gives
 #: 29.4 and 28.4 on average, with deviations of 1.5 and 1.8).
 SKETCH, MIN_OVERLAP = 32, 19
+#: Pairs from one list beyond which its members are listed by their full sets.
+WIDE = 4096
 #: Below the threshold by so much, in similarity, an estimate from SKETCH values still passes (about 5 deviations).
 SLACK = 0.32
 
@@ -89,18 +93,35 @@ def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "id long, hashes binary")
 
 
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, n, sketch: all hashes of each document, as signed longs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        for pdf in batches:
+            sets = [shingle_hashes(t, words, known).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(x) for x in sets], "sketch": pd.Series(sets, dtype=object)})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "id long, n long, sketch array<long>")
+
+
+def _lists(classes: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     """(value, id, weight, n, place): the inverted lists; weight is how widely the values of id are shared, place the
-    rarity of the value among those of id (1: the rarest), n the number of shingles, SKETCH + 1 standing for more."""
+    rarity of the value among those of id (1: the rarest), n the number of shingles.
+
+    classes: id, n, sketch. whole: sketch holds the full set; else n over SKETCH is given as SKETCH + 1.
+    """
     entries = classes.select("id", "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = F.least(F.col("n"), F.lit(SKETCH))
-    least = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * percent / F.lit(100.0))).otherwise(F.lit(MIN_OVERLAP))
+    all_of_them = F.ceil(F.col("n") * percent / F.lit(100.0))
+    held = F.col("n") if whole else F.least(F.col("n"), F.lit(SKETCH))
+    least = all_of_them if whole else F.when(F.col("n") <= SKETCH, all_of_them).otherwise(F.lit(MIN_OVERLAP))
     own = entries.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum("df").alias("weight"))
     # values that nobody else has are the rarest: they take the first places of a class, and list nothing
     alone = held - F.size("found")
     own = own.withColumn("alone", alone).withColumn("open", (held - least + 1 - F.col("alone")).cast("int")).where("open > 0")
-    return own.select("id", "weight", F.least("n", F.lit(SKETCH + 1)).cast("int").alias("n"), "alone", F.posexplode(F.slice("found", F.lit(1), F.col("open"))).alias("at", "x")).select("x.value", "id", "weight", "n", (F.col("alone") + F.col("at") + 1).cast("int").alias("place"))
+    n = F.col("n") if whole else F.least("n", F.lit(SKETCH + 1))
+    return own.select("id", "weight", n.cast("int").alias("n"), "alone", F.posexplode(F.slice("found", F.lit(1), F.col("open"))).alias("at", "x")).select("x.value", "id", "weight", "n", (F.col("alone") + F.col("at") + 1).cast("int").alias("place"))
 
 
 def _leader_pairs(lists: DataFrame) -> DataFrame:
@@ -110,22 +131,39 @@ def _leader_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _crossing_pairs(lists: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list that lie in different components; members of the largest meet only the others."""
+def _live(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, with their own and the list's largest component (c, major), and
+    the number of pairs that the list could give."""
     placed = lists.select("value", "id", "n", "place").join(component, "id", "left").select("value", "id", "n", "place", F.coalesce("component", "id").alias("c"))
     sizes = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m"))
-    major = sizes.groupBy("value").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", F.col("top.c").alias("major"))
-    live = staged(placed.join(major, "value"), "live")
+    lists_ = sizes.groupBy("value").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all")).where("parts > 1")
+    return staged(placed.join(lists_.select("value", F.col("top.c").alias("major"), (F.col("all") * (F.col("all") - F.col("top.m"))).alias("most")), "value"), "live")
+
+
+def _met(live: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of a list in different components; members of the largest meet only the others."""
     minor = live.where("c <> major").select("value", "n", "place", F.col("id").alias("i"), F.col("c").alias("ci"))
     # both have their rarer values to themselves at best: what is left must reach the overlap that their sizes ask for
     kinds = live.select("value", F.col("n").alias("n2"), F.col("place").alias("place2")).distinct()
-    small = (F.col("n") <= SKETCH) & (F.col("n2") <= SKETCH)
+    exact = F.lit(True) if whole else (F.col("n") <= SKETCH) & (F.col("n2") <= SKETCH)
     needed = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100.0 + percent))
     reach = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1 >= needed
-    viable = minor.select("value", "n", "place").distinct().join(kinds, "value").where(~small | reach)
+    viable = minor.select("value", "n", "place").distinct().join(kinds, "value").where(~exact | reach)
     others = live.select("value", F.col("n").alias("n2"), F.col("place").alias("place2"), "id", "c")
     met = minor.join(viable, ["value", "n", "place"]).join(others, ["value", "n2", "place2"]).where("ci <> c")
-    return met.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
+    return met.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
+
+
+def _crossing_pairs(lists: DataFrame, component: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of a list that lie in different components."""
+    live = _live(lists, component)
+    pairs = _met(live.where(F.col("most") <= WIDE), percent, False)
+    wide = staged(live.where(F.col("most") > WIDE).select("id").distinct(), "wide")
+    if wide.limit(1).count():
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wide.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        sets = staged(full_sets(texts, words).join(nodes.select("id", "n").distinct(), ["id", "n"], "left_semi"), "fullsets")
+        pairs = pairs.union(_met(_live(staged(_lists(sets, percent, whole=True), "lists"), component), percent, True))
+    return pairs.distinct()
 
 
 def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +173,9 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union(_unsigned("sa"), _unsigned("sb"))), 1, SKETCH)
     common = F.array_intersect(F.array_intersect(_unsigned("sa"), _unsigned("sb")), union)
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
-    return both.where(whole | (F.size(common) >= (percent / 100.0 - SLACK) * F.size(union))).select("a", "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    exact = 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
+    return both.where(F.when(whole, exact).otherwise(F.size(common) >= (percent / 100.0 - SLACK) * F.size(union))).select("a", "b")
 
 
 def _unsigned(name: str):
@@ -190,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = classes.select("id", "n", "sketch")
     first = staged(_confirmed(staged(_filtered(_leader_pairs(lists), nodes, percent), "pairs"), docs, words, percent), "links")
     found = staged(components(first), "components")
-    rest = staged(_filtered(_crossing_pairs(lists, found, percent), nodes, percent), "pairs")
+    rest = staged(_filtered(_crossing_pairs(lists, found, docs, nodes, words, percent), nodes, percent), "pairs")
     if rest.limit(1).count():
         found = components(first.union(_confirmed(rest, docs, words, percent)))
     place = classes.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("of_class"))

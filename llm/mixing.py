@@ -181,7 +181,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
                     yield part.assign(shard=s, sid=i)[["shard", "sid", "turn", "block", "words"]]
 
     slots = spark.range(0, shards, 1, min(shards, 2000)).mapInPandas(draw, "shard long, sid int, turn long, block long, words long")
-    return Mix(staged(rows, "placed"), slots, names, block)
+    # written, as Spark takes the output of a small range for small and would broadcast it
+    return Mix(staged(rows, "placed"), staged(slots, "slots"), names, block)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

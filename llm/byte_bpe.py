@@ -13,6 +13,7 @@ extra columns pass through.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -30,19 +31,17 @@ _STEPS = """
 WITH RECURSIVE t(step, w, p, tok) AS (
     SELECT 0, w, p, tok FROM start
   UNION ALL
-    SELECT step + 1, w, p, CASE WHEN p = spot THEN merged ELSE tok END
+    SELECT step + 1, w, CASE WHEN p > spot THEN p - 1 ELSE p END, CASE WHEN p = spot THEN merged ELSE tok END
     FROM (
-        SELECT step, w, p, tok, merged, min(CASE WHEN merged = least_rank THEN p END) OVER (PARTITION BY w) AS spot, before
-        FROM (
-            SELECT step, w, p, tok, merged, least_rank, lag(p) OVER (PARTITION BY w ORDER BY p) AS before
-            FROM (
-                SELECT n.step, n.w, n.p, n.tok, m.merged, min(m.merged) OVER (PARTITION BY n.w) AS least_rank
-                FROM (SELECT step, w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS following FROM t) n
-                LEFT JOIN merges m ON m.lhs = n.tok AND m.rhs = n.following
-            )
-        )
+        SELECT t.step, t.w, t.p, t.tok, b.best // 1024 AS merged, b.best % 1024 AS spot
+        FROM t JOIN (
+            -- the least (rank, position) of each piece, as one number: a piece has fewer than 1024 positions
+            SELECT n.w, min(m.merged * 1024 + n.p) AS best
+            FROM t n JOIN t f ON f.w = n.w AND f.p = n.p + 1 JOIN merges m ON m.lhs = n.tok AND m.rhs = f.tok
+            GROUP BY n.w
+        ) b ON b.w = t.w
     )
-    WHERE spot IS NOT NULL AND before IS DISTINCT FROM spot
+    WHERE p <> spot + 1
 ), last AS (SELECT w, max(step) AS step FROM t GROUP BY w)
 SELECT t.w, string_agg(CAST(t.tok AS VARCHAR), ' ' ORDER BY t.p) AS ids, count(*) AS n, string_agg(v.hex, '' ORDER BY t.p) AS hex
 FROM t JOIN last USING (w, step) JOIN vocabulary v ON v.id = t.tok GROUP BY t.w
@@ -104,6 +103,11 @@ class Encoder:
             for i, ids, n, coded in self.db.execute(_STEPS).fetchall():
                 self.pieces[some[i]] = (ids, n, bytes.fromhex(coded))
 
+    def _whole(self, piece: str) -> tuple[str, int, bytes] | None:
+        """A piece that is a token is that token, as in the tiktoken library, whether or not merges lead to it."""
+        i = self.ranks.get(piece.encode("utf-8"))
+        return None if i is None else (str(i), 1, self.bytes_of[i])
+
     def _merge_long(self, piece: str) -> tuple[str, int, bytes]:
         tok = [self.ranks[bytes([b])] for b in piece.encode("utf-8")]
         raw = [bytes([b]) for b in piece.encode("utf-8")]
@@ -131,6 +135,9 @@ class Encoder:
             self.pieces.clear()
         cut = {s: self.find(s) for s in spans if s not in self.spans}
         new = {p for pieces in cut.values() for p in pieces if p not in self.pieces}
+        whole = {p: x for p in new if (x := self._whole(p))}
+        self.pieces |= whole
+        new.difference_update(whole)
         short = [p for p in new if len(p.encode("utf-8")) <= LONG]
         for p in new.difference(short):
             self.pieces[p] = self._merge_long(p)
@@ -141,13 +148,18 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, int, bytes]]:
         """(ids joined by a space, their number, decoded bytes) of each text."""
-        cut = [spans_of(t) for t in texts]
-        self.learn({s for spans in cut for s in spans})
-        out = []
-        for spans in cut:
-            found = [self.spans[s] for s in spans]
-            out.append((" ".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])))
-        return out
+        # only tuples of plain values are made here, so that the collector would search millions of them in vain
+        gc.disable()
+        try:
+            cut = [spans_of(t) for t in texts]
+            self.learn({s for spans in cut for s in spans})
+            out = []
+            for spans in cut:
+                found = [self.spans[s] for s in spans]
+                out.append((" ".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])))
+            return out
+        finally:
+            gc.enable()
 
 
 def spans_of(text: str | None) -> list[str]:
@@ -182,7 +194,7 @@ def digested(docs: DataFrame, text_col: str = "text", path: str | None = None, p
     import public_tokenizers
 
     path, pattern = path or default_ranks(), pattern or public_tokenizers.PATTERN
-    short_batches(docs.sparkSession, 512)
+    short_batches(docs.sparkSession, 1024)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * ids)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -38,6 +38,9 @@ SKETCH, MIN_OVERLAP = 32, 19
 WIDE = 4096
 #: Below the threshold by so much, in similarity, an estimate from SKETCH values still passes (about 5 deviations).
 SLACK = 0.32
+#: Most bits of a filter of wanted ids (32 MB on the driver and in each Python worker), those of one of its blocks, and bits
+#: for each id.  More ids than that are joined instead.
+FILTER_BITS, BLOCK_BITS, BITS_AN_ID = 1 << 28, 1 << 15, 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,6 +69,36 @@ def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> np.
     return np.unique(acc)
 
 
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows of docs whose doc_id is in ids (doc_id, distinct), and of a few others.
+
+    A bit filter of the ids, of checked size, goes to the texts, so that these are not shuffled.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark, bits = docs.sparkSession, 1 << max(BLOCK_BITS.bit_length() - 1, (BITS_AN_ID * ids.count()).bit_length())
+    if bits > FILTER_BITS:
+        return docs.join(ids, "doc_id", "left_semi")
+    at = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+
+    def packed(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(BLOCK_BITS, bool)
+        flags[pdf["at"].to_numpy() % BLOCK_BITS] = True
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(flags).tobytes()]})
+
+    blocks = ids.select(at.alias("at")).distinct().groupBy(F.floor(F.col("at") / BLOCK_BITS).alias("block")).applyInPandas(packed, "block long, bits binary")
+    whole = bytearray(bits // 8)
+    for block, part in blocks.toLocalIterator():
+        whole[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = part
+    sent = spark.sparkContext.broadcast(bytes(whole))
+
+    @F.pandas_udf("boolean")
+    def wanted(at: pd.Series) -> pd.Series:
+        x, held = at.to_numpy(), np.frombuffer(sent.value, np.uint8)
+        return pd.Series(held[x >> 3] >> (7 - (x & 7)) & 1 == 1)
+
+    return docs.where("doc_id is not null").where(wanted(at))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the whole set), sketch (its SKETCH smallest values, as signed longs)."""
 
@@ -160,8 +193,8 @@ def _crossing_pairs(lists: DataFrame, component: DataFrame, docs: DataFrame, nod
     pairs = _met(live.where(F.col("most") <= WIDE), percent, False)
     wide = staged(live.where(F.col("most") > WIDE).select("id").distinct(), "wide")
     if wide.limit(1).count():
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wide.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        sets = staged(full_sets(texts, words).join(nodes.select("id", "n").distinct(), ["id", "n"], "left_semi"), "fullsets")
+        texts = of_ids(docs, wide.withColumnRenamed("id", "doc_id"))
+        sets = staged(full_sets(texts, words).join(nodes.join(wide, "id", "left_semi").select("id", "n").distinct(), ["id", "n"], "left_semi"), "fullsets")
         pairs = pairs.union(_met(_live(staged(_lists(sets, percent, whole=True), "lists"), component), percent, True))
     return pairs.distinct()
 
@@ -185,8 +218,8 @@ def _unsigned(name: str):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(hashed_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi"), words), "sets")
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    sets = staged(hashed_sets(of_ids(docs, needed), words), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
 
     @F.pandas_udf("boolean")

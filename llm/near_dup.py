@@ -26,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import short_batches, staged, table
@@ -69,34 +70,58 @@ def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> np.
     return np.unique(acc)
 
 
-def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the rows of docs whose doc_id is in ids (doc_id, distinct), and of a few others.
-
-    A bit filter of the ids, of checked size, goes to the texts, so that these are not shuffled.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark, bits = docs.sparkSession, 1 << max(BLOCK_BITS.bit_length() - 1, (BITS_AN_ID * ids.count()).bit_length())
+def _filter_of(ids: DataFrame) -> tuple[int, Broadcast] | None:
+    """A bit filter of ids (doc_id, distinct), as its size in bits and its bytes; None where it would pass FILTER_BITS."""
+    bits = 1 << max(BLOCK_BITS.bit_length() - 1, (BITS_AN_ID * ids.count()).bit_length())
     if bits > FILTER_BITS:
-        return docs.join(ids, "doc_id", "left_semi")
-    at = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+        return None
 
     def packed(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(BLOCK_BITS, bool)
         flags[pdf["at"].to_numpy() % BLOCK_BITS] = True
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(flags).tobytes()]})
 
-    blocks = ids.select(at.alias("at")).distinct().groupBy(F.floor(F.col("at") / BLOCK_BITS).alias("block")).applyInPandas(packed, "block long, bits binary")
+    blocks = ids.select(_place(bits).alias("at")).distinct().groupBy(F.floor(F.col("at") / BLOCK_BITS).alias("block")).applyInPandas(packed, "block long, bits binary")
     whole = bytearray(bits // 8)
     for block, part in blocks.toLocalIterator():
         whole[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = part
-    sent = spark.sparkContext.broadcast(bytes(whole))
+    return bits, ids.sparkSession.sparkContext.broadcast(bytes(whole))
 
-    @F.pandas_udf("boolean")
-    def wanted(at: pd.Series) -> pd.Series:
-        x, held = at.to_numpy(), np.frombuffer(sent.value, np.uint8)
-        return pd.Series(held[x >> 3] >> (7 - (x & 7)) & 1 == 1)
 
-    return docs.where("doc_id is not null").where(wanted(at))
+def _place(bits: int) -> Column:
+    return F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+
+
+def sets_of_ids(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, n, hashes (the whole set, eight bytes each) of the rows of docs whose doc_id is in ids (doc_id, distinct), and of
+    a few others: a bit filter of the ids, of checked size, goes to the texts, so that these are not shuffled.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    sent = _filter_of(ids)
+    docs = docs.withColumn("at", _place(sent[0])) if sent else docs.join(ids, "doc_id", "left_semi").withColumn("at", F.lit(0).cast("long"))
+    held = sent and sent[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        bits = held and np.frombuffer(held.value, np.uint8)
+        for pdf in batches:
+            if held:
+                at = pdf["at"].to_numpy()
+                pdf = pdf[bits[at >> 3] >> (7 - (at & 7)) & 1 == 1]
+            sets = [shingle_hashes(t, words, known).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["doc_id"].to_numpy(), "n": np.array([len(x) // 8 for x in sets], np.int64), "hashes": pd.Series(sets, dtype=object)})
+
+    return docs.mapInPandas(run, "id long, n long, hashes binary")
+
+
+def _as_longs(sets: DataFrame) -> DataFrame:
+    """id, n, sketch: all hashes of each set, as signed longs."""
+
+    @F.pandas_udf("array<long>")
+    def longs(hashes: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in hashes], dtype=object)
+
+    return sets.select("id", "n", longs("hashes").alias("sketch"))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -117,27 +142,6 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "hashes": [shingle_hashes(t, words, known).tobytes() for t in pdf["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, hashes binary")
-
-
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, sketch: all hashes of each document, as signed longs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
-        for pdf in batches:
-            sets = [shingle_hashes(t, words, known).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(x) for x in sets], "sketch": pd.Series(sets, dtype=object)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, n long, sketch array<long>")
-
-
 def _lists(classes: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     """(value, id, weight, n, place): the inverted lists; weight is how widely the values of id are shared, place the
     rarity of the value among those of id (1: the rarest), n the number of shingles.
@@ -193,8 +197,8 @@ def _crossing_pairs(lists: DataFrame, component: DataFrame, docs: DataFrame, nod
     pairs = _met(live.where(F.col("most") <= WIDE), percent, False)
     wide = staged(live.where(F.col("most") > WIDE).select("id").distinct(), "wide")
     if wide.limit(1).count():
-        texts = of_ids(docs, wide.withColumnRenamed("id", "doc_id"))
-        sets = staged(full_sets(texts, words).join(nodes.join(wide, "id", "left_semi").select("id", "n").distinct(), ["id", "n"], "left_semi"), "fullsets")
+        sets = staged(sets_of_ids(docs, wide.withColumnRenamed("id", "doc_id"), words), "sets").join(nodes.join(wide, "id", "left_semi").select("id", "n").distinct(), ["id", "n"], "left_semi")
+        sets = staged(_as_longs(sets), "fullsets")
         pairs = pairs.union(_met(_live(staged(_lists(sets, percent, whole=True), "lists"), component), percent, True))
     return pairs.distinct()
 
@@ -219,7 +223,7 @@ def _unsigned(name: str):
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    sets = staged(hashed_sets(of_ids(docs, needed), words), "sets")
+    sets = staged(sets_of_ids(docs, needed, words), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
 
     @F.pandas_udf("boolean")

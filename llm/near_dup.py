@@ -42,6 +42,8 @@ SLACK = 0.32
 #: Most bits of a filter of wanted ids (32 MB on the driver and in each Python worker), those of one of its blocks, and bits
 #: for each id.  More ids than that are joined instead.
 FILTER_BITS, BLOCK_BITS, BITS_AN_ID = 1 << 28, 1 << 15, 16
+#: Word hashes that a Python worker keeps from text to text (some 200 bytes each); all are let go beyond that.
+CACHED_WORDS = 1 << 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> np.
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    if len(known) > 1_000_000:
+    if len(known) > CACHED_WORDS:
         known.clear()
     for w in set(parts).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)

@@ -2,16 +2,18 @@
 
 1. Every page is parsed once into a light tree of elements (tolerant of unclosed tags).  Elements that cannot hold main text
    by their role (menus, headers, footers, forms, scripts, adverts, notices, comments) are out at once.
-2. The subtrees of the remaining elements that stand outside the main article are hashed, and Spark counts, for each host,
-   the pages on which a hash occurs.  Subtrees that recur on at least ``MIN_PAGES`` pages of the host are template.
+2. The subtrees of every page are hashed, and Spark counts them for each host: outside a marked article the pages on which a
+   hash occurs, inside one the different articles.  Subtrees that recur on at least ``MIN_PAGES`` of them are template.
 3. The second pass deletes template subtrees and reads the text of what is left: of the article, if the page marks one, or
    else of the whole body.
 
-What stands inside a marked article is never template, however often it recurs: reposted articles and license lines stay.
+Inside a marked article a separate rule guards what is reposted.  Copies of an article count once, inline elements and articles
+are never template, and a recurring block that holds prose (``PROSE``) is template only if more than half of the host's
+articles have it; so reposted articles, passages and license lines stay.
 Recurring hashes go to the tasks if there are at most ``FEW`` (48 bytes each); beyond that they are joined, by page.
 
 Cases: a null or empty html gives an empty text.  A page with a null URL or no host belongs to the host ''.  Repeated rows are
-extracted each on its own, and count once per page_id and hash.  Markup of any length is read whole.  Extra columns are ignored.
+extracted each on its own, and count once per page_id, or article, and hash.  Markup of any length is read whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import short_batches, table
+from llm.common import short_batches, staged, table
 
 MIN_PAGES, FEW = 5, 200_000
 
@@ -39,6 +41,10 @@ OUT_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comments?|disqus|replies|reply|respond|login|search|widget|pagination|pager|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: Elements of running text, which articles repost.
+PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figure".split())
+#: Marks hashes of subtrees inside a marked article; alone, it counts the articles.
+INSIDE = b"i"
 #: An open element of the key closes when one of the set starts.
 CLOSED_BY = {
     "p": BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "caption", "figcaption", "legend", "summary"},
@@ -133,26 +139,56 @@ def digest(page: str, e: Element) -> bytes:
     return hashlib.blake2b(_SPACE.sub(" ", page[e.start : e.end]).encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
-def outer_elements(root: Element) -> list[Element]:
-    """Elements outside the main parts that the template count looks at: not the document's frame, and not out by role."""
-    if main_parts(root):
-        # the article is marked, so nothing outside it is read
-        return []
-    found, todo = [], [root]
+def subtrees(page: str, root: Element) -> set[tuple[bytes, bytes | None]]:
+    """(hash, article): every subtree that the template count looks at, with the digest of its innermost marked article, or
+    None outside; and INSIDE for each article. Not the document's frame, articles themselves, or inline elements in articles.
+    """
+    found: set[tuple[bytes, bytes | None]] = set()
+    todo: list[tuple[Element, bytes | None, bool]] = [(root, None, False)]
     while todo:
-        e = todo.pop()
+        e, article, out = todo.pop()
         for c in e.children:
-            if isinstance(c, Element) and not c.out:
-                if c.name not in ("html", "body", "br"):
-                    found.append(c)
-                todo.append(c)
+            if not isinstance(c, Element) or c.name == "br" or c.name in RAW:
+                continue
+            inner = article
+            if c.name in ("article", "main") and not out:
+                inner = digest(page, c)
+                found.add((INSIDE, inner))
+            elif article is not None:
+                if c.name in BLOCKS:
+                    found.add((INSIDE + digest(page, c), article))
+            elif c.name not in ("html", "body"):
+                found.add((digest(page, c), None))
+            todo.append((c, inner, out or c.out))
     return found
 
 
-def text_of(page: str, root: Element, template: set[bytes] | frozenset = frozenset()) -> str:
-    parts, checked = main_parts(root), False
-    if not parts:
-        parts, checked = [root], bool(template)
+def _holds_prose(e: Element) -> bool:
+    todo = [e]
+    while todo:
+        x = todo.pop()
+        if x.name in PROSE:
+            return True
+        todo += [c for c in x.children if isinstance(c, Element) and not c.out]
+    return False
+
+
+def _is_template(page: str, e: Element, marked: bool, template: dict[bytes, bool]) -> bool:
+    """template: the hashes, each with whether more than half of the host's articles have it."""
+    if not template or e.name in ("#root", "html", "body"):
+        return False
+    if not marked:
+        return digest(page, e) in template
+    if e.name not in BLOCKS or e.name in ("article", "main"):
+        return False
+    most = template.get(INSIDE + digest(page, e))
+    return most is not None and (most or not _holds_prose(e))
+
+
+def text_of(page: str, root: Element, template: dict[bytes, bool] | None = None) -> str:
+    parts = main_parts(root)
+    marked, template = bool(parts), template or {}
+    parts = parts or [root]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -172,7 +208,7 @@ def text_of(page: str, root: Element, template: set[bytes] | frozenset = frozens
                 line.append(page[x[0] : x[1]])
             elif x.name == "br":
                 line.append(" ")
-            elif x.out or checked and x.name not in ("#root", "html", "body") and digest(page, x) in template:
+            elif x.out or _is_template(page, x, marked, template):
                 if x.name in BLOCKS:
                     flush()
             elif x.name in BLOCKS:
@@ -190,15 +226,20 @@ def _host():
 
 
 def template_hashes(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, hash: subtrees that recur on at least min_pages pages of a host."""
+    """host, hash, most: subtrees that recur on at least min_pages pages or articles of a host; whether most of its articles have it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(h, i, d) for h, i, page in zip(pdf["host"], pdf["page_id"].tolist(), pdf["html"], strict=True) for root in (parse(page),) for d in {digest(page, e) for e in outer_elements(root)}]
-            yield pd.DataFrame(rows, columns=["host", "page_id", "hash"]).astype({"page_id": "Int64"})
+            # a place is an article, or a page
+            rows = [(h, d, f"p{i}".encode() if a is None else a) for h, i, page in zip(pdf["host"], pdf["page_id"], pdf["html"], strict=True) for d, a in subtrees(page, parse(page))]
+            yield pd.DataFrame(rows, columns=["host", "hash", "place"])
 
-    seen = pages.where("html is not null").select(_host().alias("host"), F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(run, "host string, page_id long, hash binary")
-    return seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
+    seen = pages.where("html is not null").select(_host().alias("host"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), "html").mapInPandas(run, "host string, hash binary, place binary")
+    n = seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    n = staged(n.where((F.col("n") >= min_pages) | (F.col("hash") == F.lit(INSIDE))), "recurring")
+    articles = n.where(F.col("hash") == F.lit(INSIDE)).select("host", F.col("n").alias("articles"))
+    most = F.coalesce(F.substring("hash", 1, 1).eqNullSafe(F.lit(INSIDE)) & (F.length("hash") > 12) & (2 * F.col("n") > F.col("articles")), F.lit(False))
+    return n.where(F.col("hash") != F.lit(INSIDE)).join(articles, "host", "left").select("host", "hash", most.alias("most"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, few: int = FEW) -> DataFrame:
@@ -208,28 +249,29 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, few: int = FEW) -> Dat
     known = template.limit(few + 1).collect()
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
     if len(known) <= few:
-        of_host: dict[str, set[bytes]] = {}
+        of_host: dict[str, dict[bytes, bool]] = {}
         for r in known:
-            of_host.setdefault(r["host"], set()).add(bytes(r["hash"]))
+            of_host.setdefault(r["host"], {})[bytes(r["hash"])] = r["most"]
 
         @F.pandas_udf("string")
         def text(html: pd.Series, host: pd.Series) -> pd.Series:
-            return pd.Series([text_of(p, parse(p), of_host.get(h, frozenset())) if p else "" for p, h in zip(html, host, strict=True)], dtype=object)
+            return pd.Series([text_of(p, parse(p), of_host.get(h)) if p else "" for p, h in zip(html, host, strict=True)], dtype=object)
 
         out = rows.withColumn("text", text("html", "host"))
     else:
 
         @F.pandas_udf("array<binary>")
         def hashes(html: pd.Series) -> pd.Series:
-            return pd.Series([sorted({digest(p, e) for e in outer_elements(parse(p))}) if p else [] for p in html], dtype=object)
+            return pd.Series([sorted({d for d, _ in subtrees(p, parse(p))}) if p else [] for p in html], dtype=object)
 
         @F.pandas_udf("string")
-        def text_without(html: pd.Series, gone: pd.Series) -> pd.Series:
-            return pd.Series([text_of(p, parse(p), {bytes(x) for x in g} if g is not None else frozenset()) if p else "" for p, g in zip(html, gone, strict=True)], dtype=object)
+        def text_without(html: pd.Series, gone: pd.Series, most: pd.Series) -> pd.Series:
+            sets = [(() if g is None else g, {bytes(x) for x in (() if m is None else m)}) for g, m in zip(gone, most, strict=True)]
+            return pd.Series([text_of(p, parse(p), {bytes(x): bytes(x) in m for x in g}) if p else "" for p, (g, m) in zip(html, sets, strict=True)], dtype=object)
 
         own = rows.select("page_id", "host", F.explode(hashes("html")).alias("hash"))
-        gone = own.join(template, ["host", "hash"]).groupBy(F.col("page_id").alias("of"), F.col("host").alias("at")).agg(F.collect_set("hash").alias("gone"))
-        out = rows.join(gone, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("host") == F.col("at")), "left").withColumn("text", text_without("html", "gone"))
+        gone = own.join(template, ["host", "hash"]).groupBy(F.col("page_id").alias("of"), F.col("host").alias("at")).agg(F.collect_set("hash").alias("gone"), F.collect_set(F.when(F.col("most"), F.col("hash"))).alias("most"))
+        out = rows.join(gone, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("host") == F.col("at")), "left").withColumn("text", text_without("html", "gone", "most"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -252,3 +252,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
         now = stage(spark, now, str(tmp_path))
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[-3:] == ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_html_template_of_marked_pages(spark):
+    block, line = '<div class="x"><span>Read more of us</span></div>', "<p>Licensed to all.</p>"
+    every = '<div class="y"><p>Made by hand.</p></div>'
+    page = "<body><div>Frame</div><article>%s<p>text %d</p>%s%s</article></body>"
+    pages = [(i, f"http://h.example.com/{i}", page % (block if i < 6 else "", i, every, line if i < 5 else "")) for i in range(12)]
+    # copies of one article count once, and an unmarked page loses the frame that marked ones have
+    pages += [(20 + k, f"http://copy.example.com/{k}", "<article><div>Reposted</div><p>passage</p></article>") for k in range(8)] + [(40, "http://h.example.com/u", "<body><div>Frame</div><p>own</p></body>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for few in (1000, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, few=few).collect()}
+        assert [got[i] for i in range(12)] == [f"text {i}" + ("\nLicensed to all." if i < 5 else "") for i in range(12)]
+        assert got[20] == "Reposted\npassage" and got[40] == "own"

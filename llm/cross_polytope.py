@@ -9,8 +9,8 @@ searched.
 Copies of a vector are hashed once and carry their k + 1 smallest ids.
 
 Cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part.  Vectors of another length than the query's
-are no candidates.  Rows that repeat id and vector count once.  Fewer than k found: all that were found; if the table has so few vectors
-that it fits a chunk, everything is a candidate.  Extra columns are ignored.
+are no candidates.  Rows that repeat id and vector count once.  Fewer than k found: all that were found.  Tables of every size are
+hashed and probed.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +88,6 @@ def search(vectors: DataFrame, k: int = 10, tables: int = TABLES, hashes: int =
     short_batches(spark, 2048)
     rows = usable(vectors, F.transform("embedding", lambda x: x.cast("double"))).where(F.exists("key", lambda x: x != 0))
     points = staged(distinct_vectors(rows, k + 1).withColumn("dim", F.size("key")), "points")
-    total = points.count()
     wanted = queries_of(rows)
     asked = wanted.select("key").distinct().withColumn("dim", F.size("key"))
 
@@ -98,12 +97,9 @@ def search(vectors: DataFrame, k: int = 10, tables: int = TABLES, hashes: int =
                 for dim, part in pdf.groupby("dim"):
                     x = matrix(part["key"], np.float64)
                     for t in range(tables):
-                        # a table that fits one chunk needs no hashing
-                        code = np.zeros((len(x), 1), np.int64) if total <= chunk else probes(x, t, hashes, most) if probing else codes(x, t, hashes)[:, None]
+                        code = probes(x, t, hashes, most) if probing else codes(x, t, hashes)[:, None]
                         for p in range(code.shape[1]):
                             yield part.assign(bucket=[f"{dim}/{t}/{c}" for c in code[:, p].tolist()]).drop(columns="dim")
-                        if total <= chunk:
-                            break
 
         return run
 

@@ -266,3 +266,11 @@ def test_html_template_of_marked_pages(spark):
         got = {r["page_id"]: r["text"] for r in html_extract.extract(df, few=few).collect()}
         assert [got[i] for i in range(12)] == [f"text {i}" + ("\nLicensed to all." if i < 5 else "") for i in range(12)]
         assert got[20] == "Reposted\npassage" and got[40] == "own"
+
+
+def test_cross_polytope_hashes_small_tables(spark):
+    x = np.random.default_rng(4).normal(size=(300, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    code = cross_polytope.codes(x, 0)
+    got = {(r["query_id"], r["vec_id"]) for r in cross_polytope.search(df, k=300, tables=1, most=1).collect()}
+    assert got == {(q, i) for q in (0, 100, 200) for i in range(300) if i != q and code[i] == code[q]}

@@ -7,7 +7,7 @@ by rule: ``TRAIN`` rows, a documented bound.  The fitted trees become one consta
 expression walks, so scoring stays inside the projection that scans the text: no shuffle, no Python on executors.
 
 Cases: a null or empty text has no candidates.  Repeated rows are scanned each on its own.  Texts of any length are
-scanned whole.  Overlapping matches cannot occur: the leftmost one is taken and scanning goes on behind it.  Extra
+scanned whole, and candidates of any length are taken whole.  Overlapping matches cannot occur: the leftmost one is taken and scanning goes on behind it.  Extra
 columns are ignored by ``findings`` and kept by ``redacted``.
 """
 
@@ -23,9 +23,9 @@ from llm.common import fresh, staged, table
 TRAIN, TREES, DEPTH, THRESHOLD = 4000, 15, 6, 0.5
 MARK = "[SECRET]"
 
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,512}[0-9])[A-Za-z0-9+/_=-]{16,512}+"
-ASSIGNED = r"(?<=[\"'])(?<=(?i:passwo?r?d|pwd|secret|token|api.?key)[\"']?\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{8,200}(?=[\"'])"
-PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+ASSIGNED = r"(?<=[\"'])(?<=(?i:passwo?r?d|pwd|secret|token|api.?key)[\"']?\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{8,}+(?=[\"'])"
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
 CANDIDATE = f"(?:{PEM}|{ASSIGNED}|{RUN})"
 #: What stands before a candidate, the candidate, what follows; at last the rest of the text, with an empty candidate.
 FOUND = rf"([\s\S]*?)(?:({CANDIDATE})(?=([\s\S]{{0,24}}))|\z)"

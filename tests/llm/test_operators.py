@@ -274,3 +274,17 @@ def test_cross_polytope_hashes_small_tables(spark):
     code = cross_polytope.codes(x, 0)
     got = {(r["query_id"], r["vec_id"]) for r in cross_polytope.search(df, k=300, tables=1, most=1).collect()}
     assert got == {(q, i) for q in (0, 100, 200) for i in range(300) if i != q and code[i] == code[q]}
+
+
+def test_secret_scan_takes_long_values_whole(spark):
+    base = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(800))
+    tokens = [base[:n] for n in (513, 5_000, 50_000)] + ["a" * 600 + base[:40]]
+    quoted = base[:300] + "!" + base[300:400]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base[:30_000] + "\n-----END PRIVATE KEY-----"
+    texts = [f'api_key = "{t}" end' for t in tokens] + [f'password = "{quoted}" end', f"key {pem} end"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in enumerate(texts)], DOCS)
+    found = secret_scan.findings(df, secret_scan.train(spark)).collect()
+    assert sorted((r["doc_id"], r["value"]) for r in found) == list(enumerate([*tokens, quoted, pem]))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
+    assert all(clean[i] == f'api_key = "{secret_scan.MARK}" end' for i in range(3))
+    assert all(clean[r["doc_id"]] == texts[r["doc_id"]].replace(r["value"], secret_scan.MARK) for r in found if r["is_secret"])

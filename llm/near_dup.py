@@ -154,7 +154,10 @@ def _lists(classes: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     all_of_them = F.ceil(F.col("n") * percent / F.lit(100.0))
     held = F.col("n") if whole else F.least(F.col("n"), F.lit(SKETCH))
-    least = all_of_them if whole else F.when(F.col("n") <= SKETCH, all_of_them).otherwise(F.lit(MIN_OVERLAP))
+    # the largest partner of a small set drops what it has over SKETCH; smaller partners drop less than they ask for less
+    largest = F.floor(F.col("n") * 100 / F.lit(float(percent)))
+    beside = F.ceil((F.col("n") + largest) * percent / F.lit(100.0 + percent)) - F.greatest(largest - SKETCH, F.lit(0))
+    least = all_of_them if whole else F.when(F.col("n") <= SKETCH, F.least(all_of_them, beside)).otherwise(F.lit(MIN_OVERLAP))
     own = entries.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum("df").alias("weight"))
     # values that nobody else has are the rarest: they take the first places of a class, and list nothing
     alone = held - F.size("found")

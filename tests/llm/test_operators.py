@@ -288,3 +288,16 @@ def test_secret_scan_takes_long_values_whole(spark):
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
     assert all(clean[i] == f'api_key = "{secret_scan.MARK}" end' for i in range(3))
     assert all(clean[r["doc_id"]] == texts[r["doc_id"]].replace(r["value"], secret_scan.MARK) for r in found if r["is_secret"])
+
+
+def test_near_duplicates_around_the_sketch_size(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(110):
+        n = 31 + k % 4 if k < 60 else 32
+        more = rng.choice(range(n + 4, 42)) if k < 60 else 39 + k % 2
+        w = [f"d{k}w{j}" for j in range(more)]
+        rows += [(10 * k, " ".join(w[:n]), "en", "s"), (10 * k + 1, " ".join(w), "en", "s")]
+    low, n = brute_classes({r[0]: r[1] for r in rows}, 1, 80)
+    out = near_dup.near_duplicates(frame(spark, rows), 1, 80).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in out} == {i: (low[i], n[i]) for i in low}

@@ -217,13 +217,15 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix as documents: a row for each pass in which words of a document are taken, its text those words.
 
     Rows that share a doc_id are told apart by source and size; blank documents, and those not drawn, are not in the mix.
+    Rows with a null doc_id are mixed like others.
     """
     short_batches(docs.sparkSession)
     m = mix(docs, **kw)
-    k, z = fresh(docs, "k"), fresh(docs, "z")
+    k, z, s, b = (fresh(docs, x) for x in "kzsb")
     count = lambda df, *by: df.withColumn(k, F.row_number().over(Window.partitionBy("doc_id").orderBy(*by)))
-    numbered = count(m.rows.where("size > 0"), "sid", "size").select("doc_id", "sid", "start", k)
-    taken = m.pieces().groupBy("doc_id", "sid", "start", "size", "turn").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")).join(numbered, ["doc_id", "sid", "start"])
+    numbered = count(m.rows.where("size > 0"), "sid", "size").select(F.col("doc_id").alias(z), F.col("sid").alias(s), F.col("start").alias(b), k)
+    taken = m.pieces().groupBy("doc_id", "sid", "start", "size", "turn").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    taken = taken.join(numbered, F.col("doc_id").eqNullSafe(F.col(z)) & (F.col("sid") == F.col(s)) & (F.col("start") == F.col(b))).drop(z)
     r, n = fresh(docs, "ranges"), fresh(docs, "size")
     taken = taken.select(F.col("doc_id").alias(z), k, F.col("ranges").alias(r), F.col("size").alias(n))
     whole = count(docs.withColumn(n + "x", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).where(f"`{n}x` > 0"), F.col("source").asc_nulls_last(), f"{n}x")

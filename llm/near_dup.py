@@ -284,9 +284,15 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Copies of a row are kept once."""
+    """One document of each group of near duplicates: the one with the smallest doc_id. 
+
+    Rows with the same doc_id and text are kept once, the first by source, lang and n_chars; different texts all stay, also under one
+    doc_id or none. Rows with a null doc_id are grouped only with equal texts.
+    """
     drop = near_duplicates(docs, words, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
     left = docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return left.dropDuplicates(["doc_id"])
+    order = F.struct(*[F.col(c) for c in ("source", "lang", "n_chars") if c in docs.columns], F.col("text"))
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order)
+    return left.groupBy("doc_id", "text").agg(row.alias("row")).select("row.*")
 
 

@@ -301,3 +301,15 @@ def test_near_duplicates_around_the_sketch_size(spark):
     low, n = brute_classes({r[0]: r[1] for r in rows}, 1, 80)
     out = near_dup.near_duplicates(frame(spark, rows), 1, 80).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in out} == {i: (low[i], n[i]) for i in low}
+
+
+def test_null_ids_pass_both_stages(spark):
+    texts = {None: ["one water house", "two rivers and a mill", "three", "three"], 7: ["four of the hills", "five of the lakes"], 8: ["six", "six"]}
+    df = frame(spark, [(i, t, "en", "a") for i, ts in texts.items() for t in ts])
+    every = sorted((str(i), t) for i, ts in texts.items() for t in set(ts))
+    kept = near_dup.keep_first_of_group(df)
+    assert kept.columns == df.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == every
+    m = mixing.mix(kept, block=16, shard=8)
+    words = m.pieces().agg(F.sum(F.col("end") - F.col("begin"))).first()[0]
+    out = mixing.mixed_documents(kept, block=16, shard=8).collect()
+    assert sum(len(r["text"].split()) for r in out) == words and {str(r["doc_id"]) for r in out} == {"None", "7", "8"}

@@ -32,6 +32,12 @@ def _range(a: Column, b: Column, step: Column | None = None) -> Column:
     return F.when(step == 0, F.sequence(a, b + 1, step)).when(forward, F.sequence(a, b, F.when(forward, step).otherwise(F.lit(1)))).when(a.isNotNull() & b.isNotNull(), F.array().cast("array<bigint>"))
 
 
+def _log(fn, x: Column) -> Column:
+    """Not a number below 0, minus infinity at 0."""
+    x = _d(x)
+    return F.when(x < 0, F.lit(float("nan"))).when(x == 0, F.lit(float("-inf"))).otherwise(fn(x))
+
+
 SCALARS = {
     "coalesce": lambda *x: F.coalesce(*x),
     "timestamp": lambda: F.unix_millis(F.current_timestamp()),
@@ -57,11 +63,15 @@ SCALARS = {
     "round": lambda x: F.floor(_d(x) + F.lit(0.5)).cast("double"),
     "sign": lambda x: F.sign(_d(x)).cast("int"),
     "rand": lambda: F.rand(),
-    "sqrt": lambda x: F.sqrt(_d(x)), "exp": lambda x: F.exp(_d(x)), "log": lambda x: F.ln(_d(x)), "log10": lambda x: F.log10(_d(x)), "e": F.e,
+    "sqrt": lambda x: F.sqrt(_d(x)), "exp": lambda x: F.exp(_d(x)), "log": lambda x: _log(F.ln, x), "log10": lambda x: _log(F.log10, x), "e": F.e,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "atan2": F.atan2, "cot": F.cot, "pi": F.pi, "degrees": F.degrees, "radians": F.radians,
 }
 
 
+#: Functions of numbers: of strings they take what parses, of other things null.
+MATH = frozenset("abs ceil floor round sign sqrt exp log log10 sin cos tan asin acos atan atan2 cot degrees radians".split())
+
+
 def _integer(x: Column) -> Column:
     s = _text(x)
     number = F.typeof(x).isin("double", "float")
@@ -84,13 +94,7 @@ def aggregate(name: str, args: list[Column], distinct: bool) -> Column:
         return getattr(F, name)(x)
     if name == "collect":
         return F.sort_array(F.collect_set(x)) if distinct else F.collect_list(x)
-    if name in ("percentilecont", "percentiledisc"):
-        p = args[1] if len(args) > 1 else F.lit(0.5)
-        kind = "cont" if name.endswith("cont") else "disc"
-        return F.call_function("percentile", _d(x), p) if kind == "cont" else _percentile_disc(_d(x), p)
+    if name == "percentilecont":
+        return F.call_function("percentile", _d(x), args[1] if len(args) > 1 else F.lit(0.5))
     return F.when(F.count(x) >= 2, (F.stddev_samp if name == "stdev" else F.stddev_pop)(_d(x)))
 
-
-def _percentile_disc(x: Column, p: Column) -> Column:
-    ordered = F.array_sort(F.collect_list(x))
-    return F.try_element_at(ordered, F.greatest(F.ceil(p * F.size(ordered)), F.lit(1)).cast("int"))

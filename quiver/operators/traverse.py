@@ -3,34 +3,68 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+#: Levels that one job expands: a job costs more than a level of a narrow graph.
+LEVELS = 4
 
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint: short lineage, and safe when executors are lost."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where that is unset and Spark itself is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def distances(edges: DataFrame, seeds: DataFrame, most: int, stop: DataFrame | None = None) -> DataFrame:
-    """(s, u, dist) for every seed s and every u within most steps; nodes of stop (id) are reached but not left."""
-    step = edges.select("src", "dst").distinct()
-    level = cut(seeds.select(F.col("id").alias("s"), F.col("id").alias("u"), F.lit(0).alias("dist")).distinct())
-    seen = level
-    for d in range(1, most + 1):
-        start = level if stop is None else level.join(stop.select(F.col("id").alias("u")), "u", "left_anti").select("s", "u", "dist")
-        found = start.join(step, F.col("u") == F.col("src")).select("s", F.col("dst").alias("u")).distinct().join(seen.select("s", "u"), ["s", "u"], "left_anti")
-        level = cut(found.select("s", "u", F.lit(d).alias("dist")))
-        if level.isEmpty():
+        folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """df written to the shared folder and read again: computed once, short lineage, safe when executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/level-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    (df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("dist").alias("dist"))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def counted_steps(edges: DataFrame) -> DataFrame:
+    """(src, dst, n): the distinct steps and how many edges make each, written once."""
+    return cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
+
+
+def distances(edges: DataFrame, seeds: DataFrame, most: int | None, stop: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """(s, u, dist) for every seed s and every u within most steps (None: any number); nodes of stop (id) are reached but not left."""
+    steps = counted_steps(edges) if steps is None else steps
+    step = steps.select("src", "dst")
+    stop = None if stop is None else cut(stop.select(F.col("id").alias("u")).distinct())
+    seen = level = cut(seeds.select(F.col("id").alias("s"), F.col("id").alias("u"), F.lit(0).alias("dist")).distinct())
+    base = 0
+    while most is None or base < most:
+        ahead = LEVELS if most is None else min(LEVELS, most - base)
+        at, found = level.select("s", "u"), []
+        for d in range(base + 1, base + ahead + 1):
+            start = at if stop is None else at.join(stop, "u", "left_anti").select("s", "u")
+            at = start.join(step, F.col("u") == F.col("src")).select("s", F.col("dst").alias("u")).distinct()
+            found.append(at.withColumn("dist", F.lit(d)))
+        # a walk over nodes that were met before ends at one that was met before, so the least length is the distance
+        near = reduce(DataFrame.union, found).groupBy("s", "u").agg(F.min("dist").alias("dist"))
+        told = Observation()
+        new = cut(near.join(seen.select("s", "u"), ["s", "u"], "left_anti").select("s", "u", "dist"), told)
+        base += ahead
+        if not told.get["rows"]:
+            break
+        seen = seen.union(new)
+        if told.get["dist"] < base:
             break
-        seen = seen.union(level)
+        level = new.where(F.col("dist") == base)
     return seen
 
 
@@ -39,13 +73,44 @@ def expand(edges: DataFrame, seeds: DataFrame, low: int, high: int) -> DataFrame
 
     Edges are followed with their multiplicity at the last step only, so the result never grows exponentially.
     """
-    near = distances(edges, seeds, max(0, high - 1)).where(F.col("dist") < high)
-    out = near.join(edges.select("src", "dst"), F.col("u") == F.col("src")).select("s", F.col("dst").alias("v"), (F.col("dist") + 1).alias("depth")).where(F.col("depth") >= low)
+    steps = counted_steps(edges)
+    near = distances(edges, seeds, max(0, high - 1), steps=steps).where(F.col("dist") < high)
+    last = near.join(steps, F.col("u") == F.col("src")).where(F.col("dist") + 1 >= low)
+    out = last.select("s", F.col("dst").alias("v"), (F.col("dist") + 1).alias("depth"), F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("one")).drop("one")
     return out.unionByName(seeds.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("depth")).distinct()) if low == 0 else out
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """(s, u, dist): all nodes that seeds reach, cycles or not."""
+def shortest_paths(edges: DataFrame, seeds: DataFrame, most: int | None, step: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(s, u, dist, path) for every seed and every node within most steps, and the edges (src, dst, step), written once.
+
+    path is an array of step (a struct over the columns of edges; src and dst without one), one for each edge of a shortest way; of several,
+    the one by the smallest tail, then the smallest step.
+    """
+    edges = cut(edges.select("src", "dst", (F.struct("src", "dst") if step is None else step).alias("step")))
+    none = F.array().cast(ArrayType(edges.schema["step"].dataType))
+    level = tree = cut(seeds.select(F.col("id").alias("s"), F.col("id").alias("u"), F.lit(0).alias("dist")).distinct().withColumn("path", none))
+    d = 0
+    while most is None or d < most:
+        d += 1
+        met = level.join(edges, F.col("u") == F.col("src")).groupBy("s", "dst").agg(F.min_by(F.struct("path", "step"), F.struct("u", "step")).alias("x"))
+        new = met.join(tree.select("s", F.col("u").alias("dst")), ["s", "dst"], "left_anti").select("s", F.col("dst").alias("u"), F.lit(d).alias("dist"), F.concat("x.path", F.array("x.step")).alias("path"))
+        told = Observation()
+        level = cut(new, told)
+        if not told.get["rows"]:
+            break
+        tree = tree.union(level)
+    return tree, edges
+
+
+def expand_paths(edges: DataFrame, seeds: DataFrame, low: int, high: int, step: Column) -> DataFrame:
+    """What expand gives, with path: the steps of a shortest way to the tail of the last edge, and that edge."""
+    tree, edges = shortest_paths(edges, seeds, max(0, high - 1), step)
+    out = tree.where(F.col("dist") < high).join(edges, F.col("u") == F.col("src")).where(F.col("dist") + 1 >= low).select("s", F.col("dst").alias("v"), (F.col("dist") + 1).alias("depth"), F.concat("path", F.array("step")).alias("path"))
+    return out.unionByName(tree.where("dist = 0").select("s", F.col("u").alias("v"), F.lit(0).alias("depth"), "path")) if low == 0 else out
+
+
+def closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(s, u, dist): all nodes that seeds reach, cycles or not, however far (or within most steps)."""
     return distances(edges, seeds, most).where("dist > 0")
 
 

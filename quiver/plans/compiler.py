@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.functions.scalar import SCALARS, aggregate
-from quiver.operators.traverse import expand
+from quiver.functions.scalar import MATH, SCALARS, aggregate
+from quiver.operators.traverse import expand, expand_paths
 from quiver.plans.parser import AGGREGATES, Clause, CypherError, EdgePattern, Item, NodePattern, Path, has_aggregate, parse, render, used
 from quiver.sources.graph import PropertyGraph
 
@@ -24,6 +24,7 @@ class Var:
     kind: str  # node, edge, walk, path, value
     columns: list[str] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
+    turned: bool = False  # a path that was matched from its end
 
 
 class Compiler:
@@ -91,7 +92,7 @@ class Compiler:
     def do_match(self, df: DataFrame, env: dict, c: Clause):
         for p in c.paths:
             df, env = self.path(df, env, p)
-        return (df.where(self.expr(c.where, env, df)) if c.where else df), env
+        return (df.where(self.holds(c.where, env, df)) if c.where else df), env
 
     def optional(self, df: DataFrame, env: dict, c: Clause):
         """Matches for the distinct bound values, joined back to all rows."""
@@ -129,15 +130,16 @@ class Compiler:
             edges = [EdgePattern(e.var, e.types, e.props, turn[e.direction], e.low, e.high) for e in edges[::-1]]
         names = [n.var or self.fresh() for n in nodes]
         links = [e.var or self.fresh() for e in edges]
+        whole = p.var is not None and p.var in self.needs and self.needs[p.var] is None
         if p.var:
             for n in names + links:
                 self.needs.setdefault(n, set())
         df, env = self.node(df, env, nodes[0], names[0])
         for e, link, n, a, b in zip(edges, links, nodes[1:], names, names[1:], strict=False):
-            df, env = self.hop(df, env, e, link, a, n, b)
+            df, env = self.hop(df, env, e, link, a, n, b, whole)
         if p.var:
             ordered = [x for pair in zip(names, [*links, None], strict=True) for x in pair if x]
-            env = env | {p.var: Var("path", [c for x in ordered for c in env[x].columns], ordered if nodes is p.nodes else ordered[::-1])}
+            env = env | {p.var: Var("path", [c for x in ordered for c in env[x].columns], ordered if nodes is p.nodes else ordered[::-1], nodes is not p.nodes)}
         return df, env
 
     def labels_of(self, pattern: NodePattern) -> list[str]:
@@ -185,9 +187,9 @@ class Compiler:
         back = t.withColumn("__s", F.col("src")).withColumn("src", F.col("dst")).withColumn("dst", F.col("__s")).drop("__s")
         return t if e.direction == "out" else back if e.direction == "in" else t.unionByName(back)
 
-    def hop(self, df: DataFrame, env: dict, e: EdgePattern, link: str, a: str, n: NodePattern, b: str):
+    def hop(self, df: DataFrame, env: dict, e: EdgePattern, link: str, a: str, n: NodePattern, b: str, whole: bool = False):
         if e.variable_length:
-            return self.walk(df, env, e, link, a, n, b)
+            return self.walk(df, env, e, link, a, n, b, whole)
         needs = self.needs.get(link, set())
         t = self.oriented(e, None if needs is None else needs | set(e.props))
         t = t.select(*[F.col(c).alias(f"{link}__{c}") for c in t.columns])
@@ -226,15 +228,20 @@ class Compiler:
         env = env | own
         return self.seen_graph(df if free else self.inline(df, env, b, n.props), b), env
 
-    def walk(self, df: DataFrame, env: dict, e: EdgePattern, link: str, a: str, n: NodePattern, b: str):
-        """Expansion from the distinct starts, then a join back: wide rows never enter the loop."""
+    def walk(self, df: DataFrame, env: dict, e: EdgePattern, link: str, a: str, n: NodePattern, b: str, whole: bool):
+        """Expansion from the distinct starts, then a join back: wide rows never enter the loop. whole: paths are read, so they are carried."""
         t = self.oriented(e, set(e.props))
         for k, x in e.props.items():
             t = t.where(F.col(k) == self.expr(x, {}, t))
         key = lambda g, i: F.struct(F.col(g).alias("g"), F.col(i).alias("i"))
-        steps = t.select(key("graph_id", "src").alias("src"), key("graph_id", "dst").alias("dst"))
+        steps = t.select(key("graph_id", "src").alias("src"), key("graph_id", "dst").alias("dst"), *[F.col("type")] * whole)
         seeds = df.select(key(f"{a}__graph_id", f"{a}__id").alias("id")).where("id.i is not null").distinct()
-        got = expand(steps, seeds, e.low, e.high).select(F.col("s.g").alias(f"{link}__graph_id"), F.col("s.i").alias(f"{link}__src"), F.col("v.i").alias(f"{link}__dst"), F.col("depth").alias(f"{link}__depth"))
+        if whole:
+            at = self.graph.scan(list(self.graph.nodes), set()).select(key("graph_id", "id").alias("dst"), "label")
+            got = expand_paths(steps.join(at, "dst"), seeds, e.low, e.high, F.struct(F.col("src.i").alias("src"), F.col("dst.i").alias("dst"), "type", "label"))
+        else:
+            got = expand(steps, seeds, e.low, e.high)
+        got = got.select(F.col("s.g").alias(f"{link}__graph_id"), F.col("s.i").alias(f"{link}__src"), F.col("v.i").alias(f"{link}__dst"), F.col("depth").alias(f"{link}__depth"), *[F.col("path").alias(f"{link}__path")] * whole)
         df = df.join(got, (F.col(f"{a}__id") == F.col(f"{link}__src")) & (F.col(f"{a}__graph_id") == F.col(f"{link}__graph_id")))
         env = env | {link: Var("walk", got.columns)}
         if b in env:
@@ -243,7 +250,11 @@ class Compiler:
 
     # rows
     def unwind(self, df: DataFrame, env: dict, c: Clause):
-        return df.withColumn(c.var, F.explode(self.expr(c.expr, env, df))), env | {c.var: Var("value", [c.var])}
+        x = self.expr(c.expr, env, df)
+        if not df.select(x).dtypes[0][1].startswith("array"):
+            # null or a single value gives no row
+            x = F.array().cast("array<string>")
+        return df.withColumn(c.var, F.explode(x)), env | {c.var: Var("value", [c.var])}
 
     def unique(self, df: DataFrame) -> DataFrame:
         if not self.provenance:
@@ -263,16 +274,35 @@ class Compiler:
         return F.struct(*[F.col(c).alias(c.split("__", 1)[1] if not c.startswith("__") else c[2:].split("__", 1)[1]) for c in v.columns if c != f"{name}__graph_id"])
 
     def path_nodes(self, v: Var, env: dict) -> Column:
-        return F.array(*[F.struct(F.col(f"{x}__id").alias("id"), F.col(f"{x}__label").alias("label")) for x in v.parts if env[x].kind == "node"])
+        parts, before = [], None
+        for x in v.parts:
+            if env[x].kind == "node":
+                one = F.array(F.struct(F.col(f"{x}__id").alias("id"), F.col(f"{x}__label").alias("label")))
+                # both ends of a way of length 0 are one node
+                parts.append(one if before is None else F.when(F.col(f"{before}__depth") > 0, one).otherwise(F.slice(one, 1, 0)))
+            elif env[x].kind == "walk":
+                # the nodes between its ends
+                inner = F.transform(F.slice(f"{x}__path", F.lit(1), F.greatest(F.size(f"{x}__path") - 1, F.lit(0))), lambda s: F.struct(s["dst"].alias("id"), s["label"].alias("label")))
+                parts.append(F.reverse(inner) if v.turned else inner)
+            before = x if env[x].kind == "walk" else None
+        return F.concat(*parts)
 
     def path_edges(self, v: Var, env: dict) -> Column:
-        return F.array(*[F.struct(F.col(f"{x}__src").alias("src"), F.col(f"{x}__dst").alias("dst"), (F.col(f"{x}__type") if env[x].kind == "edge" else F.lit(None).cast("string")).alias("type")) for x in v.parts if env[x].kind != "node"])
+        parts = []
+        for x in v.parts:
+            if env[x].kind == "edge":
+                parts.append(F.array(F.struct(F.col(f"{x}__src").alias("src"), F.col(f"{x}__dst").alias("dst"), F.col(f"{x}__type").alias("type"))))
+            elif env[x].kind == "walk":
+                steps = F.transform(F.col(f"{x}__path"), lambda s: F.struct(s["src"].alias("src"), s["dst"].alias("dst"), s["type"].alias("type")))
+                parts.append(F.reverse(steps) if v.turned else steps)
+        return F.concat(*parts) if parts else F.array().cast("array<struct<src:bigint,dst:bigint,type:string>>")
 
     def project(self, df: DataFrame, env: dict, c: Clause, final: bool):
         items = [Item(("var", v), v) for v in env if not v.startswith("__")] * c.star + c.items
         grouped = any(has_aggregate(i.expr) for i in items)
         made: list[tuple[str, Column]] = []
         keys: list[str] = []
+        self.before: dict[str, Column] = {}
         out_env: dict[str, Var] = {}
         for item in items:
             e = item.expr
@@ -304,6 +334,7 @@ class Compiler:
                 hidden.append(h)
                 sort.append((F.col(h), down))
         if grouped:
+            df = df.withColumns(self.before) if self.before else df
             agg = [x.alias(k) for k, x in made if k not in keys] + [self.merged()] * self.provenance
             named = [x.alias(k) for k, x in made if k in keys]
             out = df.groupBy(*named).agg(*agg) if agg else df.groupBy(*named).count().drop("count")
@@ -313,7 +344,7 @@ class Compiler:
         if c.distinct:
             out = self.unique(out)
         if c.where:
-            out = out.where(self.expr(c.where, out_env, out))
+            out = out.where(self.holds(c.where, out_env, out))
         if sort:
             out = out.orderBy(*[x.desc_nulls_last() if down else x.asc_nulls_first() for x, down in sort])
         skip, limit = (self.number(x) for x in (c.skip, c.limit))
@@ -355,7 +386,23 @@ class Compiler:
         return out
 
     def equal(self, a: Column, b: Column) -> Column:
-        return a == b
+        return a.eqNullSafe(b)
+
+    def holds(self, e: tuple, env: dict, df: DataFrame) -> Column:
+        """A condition of which only true survives: there null equals null, which stays a key that joins can hash."""
+        if e[0] == "op" and e[1] in ("and", "or"):
+            a, b = self.holds(e[2], env, df), self.holds(e[3], env, df)
+            return a & b if e[1] == "and" else a | b
+        if e[0] == "op" and e[1] == "=" and "lit" not in (e[2][0], e[3][0]):
+            a, b = self.alike(self.expr(e[2], env, df), self.expr(e[3], env, df), e, df, {})
+            return a.eqNullSafe(b)
+        return self.expr(e, env, df).cast("boolean")
+
+    def alike(self, a: Column, b: Column, e: tuple, df: DataFrame, local: dict) -> tuple[Column, Column]:
+        """Both as strings, where one is a string and the other is not."""
+        ka, kb = self.kind(a, df, e[2], local), self.kind(b, df, e[3], local)
+        mixed = "void" not in (ka, kb) and "unknown" not in (ka, kb) and (ka == "string") != (kb == "string")
+        return (a.cast("string"), b.cast("string")) if mixed else (a, b)
 
     def kind(self, c: Column, df: DataFrame, e: tuple, local: dict) -> str:
         """The type of c; unknown where it depends on a variable of a list expression, which no frame can resolve."""
@@ -442,11 +489,12 @@ class Compiler:
         if op == "xor":
             return a.cast("boolean") != b.cast("boolean")
         if op in ("=", "<>"):
-            # equal to null only where both are: as the evaluator of the query language here has it
-            ka, kb = kinds()
-            if "void" not in (ka, kb) and "unknown" not in (ka, kb) and (ka == "string") != (kb == "string"):
-                a, b = a.cast("string"), b.cast("string")
-            return (a == b) if op == "=" else (a != b)
+            a, b = self.alike(a, b, e, df, local)
+            plain = (a == b) if op == "=" else (a != b)
+            if any(x[0] == "lit" and x[1] is not None for x in (e[2], e[3])):
+                return plain
+            # null equals null; null and a value are neither equal nor different
+            return F.when(a.isNull() & b.isNull(), op == "=").otherwise(plain)
         if op in ("<", ">", "<=", ">="):
             return {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
         if op == "=~":
@@ -475,7 +523,16 @@ class Compiler:
         if name in AGGREGATES:
             if v and v.kind != "value":
                 return aggregate(name, [F.col(f"{var}__id") if v.kind == "node" else self.returned(var, env)], e[3])
-            return aggregate(name, [self.expr(x, env, df, local) for x in raw], e[3])
+            args = [self.expr(x, env, df, local) for x in raw]
+            if name == "percentiledisc":
+                # the built-in takes its order as a clause, so the values get a column of their own
+                share = raw[1] if len(raw) > 1 else ("lit", 0.5)
+                if share[0] not in ("lit", "param"):
+                    raise CypherError("the share of a percentile must be a constant")
+                h = f"__p{len(self.before)}"
+                self.before[h] = args[0].cast("double")
+                return F.expr(f"percentile_disc({float(share[1] if share[0] == 'lit' else self.params[share[1]])}) WITHIN GROUP (ORDER BY {h})")
+            return aggregate(name, args, e[3])
         if v and v.kind in ("node", "edge", "path", "walk"):
             if name == "id":
                 return F.col(f"{var}__id") if v.kind == "node" else F.lit(None).cast("long")
@@ -507,7 +564,12 @@ class Compiler:
         if name == "reverse":
             return F.reverse(args[0])
         if name == "keys":
-            return F.map_keys(args[0]) if self.kind(args[0], df, raw[0], local).startswith("map") else F.lit(None).cast("array<string>")
+            kind = self.kind(args[0], df, raw[0], local)
+            if kind.startswith("struct"):
+                return F.array(*[F.lit(x) for x in df.select(args[0].alias("x")).schema["x"].dataType.names])
+            return F.map_keys(args[0]) if kind.startswith("map") else F.lit(None).cast("array<string>")
+        if name in MATH:
+            args = [F.lit(None).cast("double") if self.kind(x, df, r, local) in ("boolean", "void") else x.try_cast("double") if self.kind(x, df, r, local) == "string" else x for x, r in zip(args, raw, strict=True)]
         if name not in SCALARS:
             raise CypherError(f"unknown function {e[4]}")
         return SCALARS[name](*args)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quiver.api import Catalog, query
 from quiver.operators import analysis as A
+from quiver.operators import architecture as K
 from quiver.operators.traverse import connected_components, subgraph
 from quiver.sources.graph import EdgeTable, PropertyGraph, collapse_parallel_edges, from_tables
 
@@ -85,10 +86,10 @@ def m01(spark: SparkSession, sf: str) -> DataFrame:
 
 @frame("m04_fan_out", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS graph_id, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2")
 def m04(spark: SparkSession, sf: str) -> DataFrame:
-    return _catalog(spark, sf).fan_out("MATCH (o:Order) RETURN o.status AS status, count(*) AS n")
+    return _catalog(spark, sf).fan_out("MATCH (o:Order) RETURN o.status AS status, count(*) AS n").drop("truncated")
 
 
-@frame("a14_stats", "SELECT 'main' AS graph_id, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS nodes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) - (SELECT count(DISTINCT user_id) FROM events) AS edges")
+@frame("a14_stats", "SELECT 'main' AS graph_id, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS nodes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) - (SELECT count(DISTINCT user_id) FROM events) AS edges, 0::BIGINT AS methods, 0::BIGINT AS call_sites")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     c = Catalog(spark)
     c.register("main", from_tables(spark, sf))
@@ -167,7 +168,7 @@ def k08(spark: SparkSession, sf: str) -> DataFrame:
 
 @frame("k07_traffic", f"SELECT least(caller_class, callee_class) AS a, greatest(caller_class, callee_class) AS b, count(*) AS weight FROM ({CALLS}) GROUP BY 1, 2")
 def k07(spark: SparkSession, sf: str) -> DataFrame:
-    return A.traffic(call_sites(spark, sf).select(F.col("caller_class").alias("source"), F.col("callee_class").alias("target")))
+    return K.traffic(call_sites(spark, sf).select(F.col("caller_class").alias("source"), F.col("callee_class").alias("target")))
 
 
 @frame("s22_collapse_parallel", "SELECT l_orderkey + 6000000 AS src, l_partkey + 5000000 AS dst, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2")

@@ -49,14 +49,30 @@ class PropertyGraph:
         return _union([(self.edges[t].frame, {"type": F.lit(t), "graph_id": _graph(self.edges[t].frame, self.name)}) for t in types], {"src", "dst", "graph_id", "type"} | needed if needed is not None else None)
 
     def save(self, folder: str) -> None:
+        """A folder of Parquet for each label and type, and a manifest that names them."""
+        spark = next(iter([*self.nodes.values(), *[e.frame for e in self.edges.values()]])).sparkSession
         for label, df in self.nodes.items():
             df.write.mode("overwrite").parquet(f"{folder}/nodes/label={label}")
         for kind, e in self.edges.items():
             e.frame.write.mode("overwrite").parquet(f"{folder}/edges/type={kind}")
+        rows = [("node", x, None, None, None) for x in self.nodes] + [("edge", t, e.source, e.target, None) for t, e in self.edges.items()] + [("alias", k, None, None, v) for k, v in self.aliases.items()]
+        spark.createDataFrame(rows, "kind string, name string, source string, target string, covers array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, labels: list[str], types: list[str], name: str = "main") -> PropertyGraph:
-        return PropertyGraph({x: spark.read.parquet(f"{folder}/nodes/label={x}") for x in labels}, {t: EdgeTable(spark.read.parquet(f"{folder}/edges/type={t}")) for t in types}, name)
+    def load(spark: SparkSession, folder: str, labels: list[str] | None = None, types: list[str] | None = None, name: str = "main", mode: str = "mapped") -> PropertyGraph:
+        """The graph of a folder, or some labels and types of it. mode: mapped reads what a query needs; eager keeps it in the executors' memory."""
+        if mode not in ("mapped", "eager"):
+            raise ValueError(f"{mode} is not mapped or eager")
+        rows = spark.read.parquet(f"{folder}/manifest").collect()
+        ends = {r["name"]: (r["source"], r["target"]) for r in rows if r["kind"] == "edge"}
+        read = lambda path: spark.read.parquet(path).cache() if mode == "eager" else spark.read.parquet(path)
+        nodes = {r["name"]: read(f"{folder}/nodes/label={r['name']}") for r in rows if r["kind"] == "node" and (labels is None or r["name"] in labels)}
+        edges = {t: EdgeTable(read(f"{folder}/edges/type={t}"), *ends[t]) for t in ends if types is None or t in types}
+        return PropertyGraph(nodes, edges, name, {r["name"]: r["covers"] for r in rows if r["kind"] == "alias"})
+
+    def unpersist(self) -> None:
+        for df in [*self.nodes.values(), *[e.frame for e in self.edges.values()]]:
+            df.unpersist()
 
 
 def _graph(df: DataFrame, name: str):

@@ -38,13 +38,6 @@ def test_argument_constants_and_patterns(spark):
     assert [(r["call_site"], r["constant"]) for r in found] == [(4, 1)]
 
 
-def test_components_and_clusters(spark):
+def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (1, 2)], "src long, dst long")
     assert {(r["id"], r["component"]) for r in connected_components(edges).collect()} == {(7, 7), (8, 7), (9, 7), (1, 1), (2, 1)}
-    pairs = spark.createDataFrame([("a", "b", 5), ("b", "c", 1)], "a string, b string, weight long")
-    assert {(r["id"], r["component"]) for r in A.clusters(pairs).collect()} == {("a", "a"), ("b", "a")}
-
-
-def test_system_boundary(spark):
-    names = spark.createDataFrame([("com.acme.shop.A",)] * 20 + [("org.x.Y",)], "name string")
-    assert A.system_boundary(names, depth=3) == "com.acme.shop"

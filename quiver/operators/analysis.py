@@ -53,7 +53,7 @@ def field_steps(dataflow: DataFrame, fields: DataFrame, interprocedural: bool =
 
 
 def _back(dataflow: DataFrame) -> DataFrame:
-    return dataflow.withColumnRenamed("src", "__d").withColumnRenamed("dst", "src").withColumnRenamed("__d", "dst")
+    return dataflow.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in dataflow.columns if c not in ("src", "dst")])
 
 
 def backward_slice(dataflow: DataFrame, starts: DataFrame, sources: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
@@ -156,7 +156,7 @@ def field_assignments(call_sites: DataFrame, dataflow: DataFrame, typed: DataFra
     given = setters.select(F.col("callee_class").alias("class"), field.alias("field"), F.col("arguments")[0].alias("id"))
     known = typed.where(F.col("type").isNotNull() & ~F.col("type").isin(*OPAQUE)).distinct()
     near = distances(_back(dataflow.select("src", "dst")), given, depth, stop=known).join(known.withColumnRenamed("id", "u"), "u").select(F.col("s").alias("id"), "type")
-    stored = dataflow.select("src", F.col("dst").alias("id")).join(fields, "id").join(locals_.where(~F.col("type").isin(*OPAQUE)).select(F.col("id").alias("src"), "type"), "src")
+    stored = dataflow.select("src", F.col("dst").alias("id")).join(fields.select("id", "class", "name"), "id").join(locals_.where(~F.col("type").isin(*OPAQUE)).select(F.col("id").alias("src"), "type"), "src")
     return given.join(near, "id").select("class", "field", "type").union(stored.select("class", F.col("name").alias("field"), "type")).distinct()
 
 

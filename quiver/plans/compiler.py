@@ -123,8 +123,8 @@ class Compiler:
 
     def path(self, df: DataFrame, env: dict, p: Path):
         nodes, edges = p.nodes, p.edges
-        # begin where something is bound
-        if not (nodes[0].var in env) and nodes[-1].var in env:
+        # begin where something is bound; what a variable length gives depends on the end that it begins at
+        if not (nodes[0].var in env) and nodes[-1].var in env and not any(e.variable_length for e in edges):
             turn = {"out": "in", "in": "out", "both": "both"}
             nodes = nodes[::-1]
             edges = [EdgePattern(e.var, e.types, e.props, turn[e.direction], e.low, e.high) for e in edges[::-1]]

@@ -62,9 +62,19 @@ cypher("a11_deviation", "MATCH (s:Supplier)-[:IN_NATION]->(n) RETURN n.name AS n
 cypher("f01_strings", "MATCH (n:Nation) RETURN toLower(n.name) AS low, left(n.name, 3) AS l, right(n.name, 2) AS r, substring(n.name, 2, 3) AS mid, replace(n.name, 'NATION', 'N') AS rep, size(n.name) AS k, reverse(n.name) AS rev, split(n.name, '_')[1] AS tail, trim('  x ') AS t", "SELECT lower(n_name) AS low, left(n_name, 3) AS l, right(n_name, 2) AS r, substr(n_name, 3, 3) AS mid, replace(n_name, 'NATION', 'N') AS rep, CAST(length(n_name) AS INT) AS k, reverse(n_name) AS rev, split_part(n_name, '_', 2) AS tail, 'x' AS t FROM nation")
 cypher("f02_numbers", "MATCH (p:Part) RETURN p.id AS id, abs(-p.size) AS a, floor(p.retailprice) AS f, ceil(p.retailprice) AS c, sign(p.size - 25) AS s, toInteger(p.retailprice) AS i, toString(p.size) AS t, p.size % 7 AS m, p.size / 4 AS d, round(sqrt(p.size) * 100) AS q", "SELECT p_partkey + 5000000 AS id, p_size AS a, floor(p_retailprice) AS f, ceil(p_retailprice) AS c, CAST(sign(p_size - 25) AS INT) AS s, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS VARCHAR) AS t, p_size % 7 AS m, p_size / 4 AS d, floor(sqrt(p_size) * 100 + 0.5) AS q FROM part")
 cypher("f03_predicates", "MATCH (p:Part) WHERE (p.name CONTAINS '1' OR p.brand ENDS WITH '3') AND NOT p.name STARTS WITH 'x' AND p.brand =~ 'Brand#[1-3].*' AND p.size IN [1, 5, 10, 20] AND p.type IS NOT NULL RETURN p.id AS id", "SELECT p_partkey + 5000000 AS id FROM part WHERE (contains(p_name, '1') OR p_brand LIKE '%3') AND NOT p_name LIKE 'x%' AND regexp_full_match(p_brand, 'Brand#[1-3].*') AND p_size IN (1, 5, 10, 20)")
-cypher("f04_lists", "UNWIND [1, 2, 3, 4] AS x RETURN x, [i IN range(1, x) WHERE i % 2 = 1 | i * i] AS odd, any(i IN range(1, x) WHERE i > 2) AS a, all(i IN range(1, x) WHERE i < 4) AS b, single(i IN range(1, x) WHERE i = 2) AS s, head(range(x, 9)) AS h, last([x, 7]) AS l", None)
+cypher("f04_lists", "UNWIND [1, 2, 3, 4] AS x RETURN x, size([i IN range(1, x) WHERE i % 2 = 1 | i * i]) AS odd, last([i IN range(1, x) WHERE i % 2 = 1 | i * i]) AS top, any(i IN range(1, x) WHERE i > 2) AS a, all(i IN range(1, x) WHERE i < 4) AS b, none(i IN range(1, x) WHERE i = 3) AS o, single(i IN range(1, x) WHERE i = 2) AS s, head(range(x, 9)) AS h, last([x, 7]) AS l, size(tail(range(1, x))) AS t, range(1, 9, 2)[x] AS r, size([1, 2, 3, 4][1..x]) AS sl, size(range(x, 1)) AS back", "SELECT x, CAST(ceil(x / 2) AS INT) AS odd, CAST(CASE WHEN x <= 2 THEN 1 ELSE 9 END AS BIGINT) AS top, x > 2 AS a, x < 4 AS b, x < 3 AS o, x >= 2 AS s, CAST(x AS BIGINT) AS h, 7 AS l, x - 1 AS t, CAST(1 + 2 * x AS BIGINT) AS r, x - 1 AS sl, CASE WHEN x = 1 THEN 1 ELSE 0 END AS back FROM (SELECT unnest([1, 2, 3, 4]) AS x)")
 cypher("f05_case", "MATCH (o:Order) RETURN CASE o.status WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state, CASE WHEN o.totalprice > 200000 THEN 1 ELSE 0 END AS big, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS big, count(*) AS n FROM orders GROUP BY 1, 2")
-cypher("f06_graph_functions", "MATCH (r:Region) RETURN id(r) AS id, elementId(r) AS element, labels(r)[0] AS label, keys(r) AS k, r.unknown IS NULL AS missing", None)
+cypher("f06_graph_functions", "MATCH (r:Region) RETURN id(r) AS id, elementId(r) AS element, qualifiedId(r) AS qualified, r.graphId AS graph, graphId(r) AS owner, labels(r)[0] AS label, size(keys(r)) AS k, keys(r)[1] AS second, r.unknown IS NULL AS missing, exists(r.name) AS there, properties(r) AS p, type(r) IS NULL AS no_type, size(keys({a: 1, b: 2})) AS own", """SELECT r_regionkey + 1000000 AS id, 'main:' || (r_regionkey + 1000000) AS element, 'main:' || (r_regionkey + 1000000) AS qualified, 'main' AS graph, 'main' AS owner, 'Region' AS label, 2 AS k, 'name' AS second, true AS missing, true AS there, '{"id":' || (r_regionkey + 1000000) || ',"name":"' || r_name || '"}' AS p, true AS no_type, 2 AS own FROM region""")
+cypher("f07_math", "MATCH (p:Part) RETURN p.id AS id, round(exp(p.size / 25.0) * 1000) AS ex, round(log(p.size) * 1000) AS ln, round(log10(p.size) * 1000) AS lg, round(sin(p.size) * 1000) AS si, round(cos(p.size) * 1000) AS co, round(tan(p.size / 50.0) * 1000) AS ta, round(asin(p.size / 50.0) * 1000) AS asi, round(acos(p.size / 50.0) * 1000) AS aco, round(atan(p.size) * 1000) AS ata, round(atan2(p.size, 3) * 1000) AS at2, round(cot(p.size / 50.0) * 1000) AS ct, round(degrees(p.size)) AS de, round(radians(p.size) * 1000) AS ra, round(pi() * 1000) AS pie, round(e() * 1000) AS eu, p.size ^ 2 AS sq, rand() < 1 AS r, round(-p.size - 0.5) AS down", "SELECT p_partkey + 5000000 AS id, floor(exp(p_size / 25.0) * 1000 + 0.5) AS ex, floor(ln(p_size) * 1000 + 0.5) AS ln, floor(log10(p_size) * 1000 + 0.5) AS lg, floor(sin(p_size) * 1000 + 0.5) AS si, floor(cos(p_size) * 1000 + 0.5) AS co, floor(tan(p_size / 50.0) * 1000 + 0.5) AS ta, floor(asin(p_size / 50.0) * 1000 + 0.5) AS asi, floor(acos(p_size / 50.0) * 1000 + 0.5) AS aco, floor(atan(p_size) * 1000 + 0.5) AS ata, floor(atan2(p_size, 3) * 1000 + 0.5) AS at2, floor(cot(p_size / 50.0) * 1000 + 0.5) AS ct, floor(degrees(CAST(p_size AS DOUBLE)) + 0.5) AS de, floor(radians(CAST(p_size AS DOUBLE)) * 1000 + 0.5) AS ra, 3142.0::DOUBLE AS pie, 2718.0::DOUBLE AS eu, CAST(p_size * p_size AS DOUBLE) AS sq, true AS r, CAST(-p_size AS DOUBLE) AS down FROM part")
+cypher("f08_nulls", "MATCH (r:Region) RETURN r.id AS id, r.u = r.v AS same, r.u <> r.v AS other, r.name = r.u AS one, null = null AS lits, r.u IS NULL AS n, r.name IS NOT NULL AS nn, 5 % 0 AS m, r.u STARTS WITH 'x' AS st, NOT (r.u = 'a') AS no, r.u IS NULL OR r.name = r.u AS o3, r.u IS NOT NULL AND r.name = r.u AS a3, size(r.u) IS NULL AS s, log(-1) = log(-1) AS nan, sqrt(r.u) IS NULL AS q", "SELECT r_regionkey + 1000000 AS id, true AS same, false AS other, NULL::BOOLEAN AS one, true AS lits, true AS n, true AS nn, NULL::INT AS m, NULL::BOOLEAN AS st, NULL::BOOLEAN AS no, true AS o3, false AS a3, true AS s, true AS nan, true AS q FROM region")
+cypher("f09_conversions", "MATCH (n:Nation) RETURN n.id AS id, toUpper(toLower(n.name)) AS up, lTrim('  a ') AS l, rTrim('  a ') AS r, toFloat('1.5') AS f, toFloat('x') AS nf, toBoolean('TRUE') AS b, toBoolean('yes') AS nb, toInteger('12') AS i, toInteger('3.7') AS ni, toInteger(true) AS ib, toString(1.5) AS s, coalesce(n.u, n.name) AS c, timestamp() > 0 AS t, n.name + '!' AS cat, size([1] + 2) AS app, n.name[0] AS c0, n.name[1..3] AS sub, 0x1F + 0o17 AS lit, -(-3) AS neg, 'a' IN ['a', 'b'] AS has, 42 = '42' AS mixed, true XOR false AS x", "SELECT n_nationkey + 2000000 AS id, upper(n_name) AS up, 'a ' AS l, '  a' AS r, 1.5::DOUBLE AS f, NULL::DOUBLE AS nf, true AS b, NULL::BOOLEAN AS nb, 12::BIGINT AS i, NULL::BIGINT AS ni, 1::BIGINT AS ib, '1.5' AS s, n_name AS c, true AS t, n_name || '!' AS cat, 2 AS app, n_name[1] AS c0, substr(n_name, 2, 2) AS sub, 46 AS lit, 3 AS neg, true AS has, true AS mixed, true AS x FROM nation")
+cypher("c07_theta", "MATCH (a:Nation), (b:Nation) WHERE a.id < b.id AND left(a.name, 8) = left(b.name, 8) RETURN a.name AS a, b.name AS b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND left(a.n_name, 8) = left(b.n_name, 8)")
+cypher("c09_path_over_walk", "MATCH p = (a:Event)-[:NEXT*2..4]->(b:Event) WHERE a.id % 40 = 0 RETURN a.id AS a, b.id AS b, length(p) AS n, p.length AS n2, size(nodes(p)) AS k, nodes(p)[1].id AS second, nodes(p)[-2].id AS last_but_one, nodes(p)[1].label AS label, size(relationships(p)) AS r, relationships(p)[0].dst AS d, relationships(p)[1].type AS t", f"WITH e AS (SELECT * FROM ({NEXT}) WHERE dst IS NOT NULL), w2 AS (SELECT x.src AS a, x.dst AS m1, y.dst AS m2 FROM e x JOIN e y ON y.src = x.dst WHERE x.src % 40 = 0), w3 AS (SELECT w2.*, e.dst AS m3 FROM w2 JOIN e ON e.src = m2), w4 AS (SELECT w3.*, e.dst AS m4 FROM w3 JOIN e ON e.src = m3), every AS (SELECT a, m2 AS b, 2 AS n, m1, m1 AS before FROM w2 UNION ALL SELECT a, m3, 3, m1, m2 FROM w3 UNION ALL SELECT a, m4, 4, m1, m3 FROM w4) SELECT a + 8000000 AS a, b + 8000000 AS b, n, n AS n2, n + 1 AS k, m1 + 8000000 AS second, before + 8000000 AS last_but_one, 'Event' AS label, n AS r, m1 + 8000000 AS d, 'NEXT' AS t FROM every")
+cypher("c09_path_backward", "MATCH (r:Region) WHERE r.name = 'ASIA' MATCH p = (c:Customer)-[*1..2]->(r) RETURN c.id AS c, size(nodes(p)) AS k, nodes(p)[0].id AS first, nodes(p)[1].label AS mid", "SELECT c_custkey + 3000000 AS c, 3 AS k, c_custkey + 3000000 AS first, 'Nation' AS mid FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
+cypher("c16_unwind_nothing", "MATCH (r:Region) UNWIND r.unknown AS x RETURN r.name AS name UNION ALL UNWIND 5 AS z RETURN 'never' AS name UNION ALL MATCH (r:Region) UNWIND [r.name, 'x'] AS name RETURN name", "SELECT r_name AS name FROM region UNION ALL SELECT 'x' FROM region")
+cypher("c22_statements", "RETURN 1 AS x; MATCH (r:Region) RETURN r.name + ';' AS name", "SELECT r_name || ';' AS name FROM region")
+cypher("a07_collect", "MATCH (n:Nation)-[:IN_REGION]->(r) RETURN r.name AS region, size(collect(n.name)) AS k, size(collect(DISTINCT left(n.name, 8))) AS d, collect(DISTINCT n.name)[0] AS first, size(collect(n.unknown)) AS none, count(DISTINCT n.unknown) AS nulls", "SELECT r_name AS region, CAST(count(*) AS INT) AS k, CAST(count(DISTINCT left(n_name, 8)) AS INT) AS d, min(n_name) AS first, 0 AS none, 0::BIGINT AS nulls FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+cypher("a09_percentile_disc", "MATCH (o:Order) RETURN o.priority AS priority, o.status AS status, percentileDisc(o.totalprice, 0.9) AS p90, percentileDisc(o.totalprice) AS median, percentileCont(o.totalprice, 0.1) AS p10", "SELECT o_orderpriority AS priority, o_orderstatus AS status, quantile_disc(o_totalprice, 0.9) AS p90, quantile_disc(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.1) AS p10 FROM orders GROUP BY 1, 2")
 
 
 def _catalog(spark: SparkSession, sf: str) -> Catalog:

@@ -9,12 +9,14 @@ tasks may fail, run again or run twice.
 Index: capture lines, keyed by the URL with its host reversed, are range-partitioned and sorted; each task writes compressed
 blocks of ``BLOCK_LINES`` lines and returns the sparse directory: first and last key, place and length of each block.
 
-Read: ``lookup`` finds blocks by binary search in the directory, reads those ranges, finds lines by binary search in the
-block, then range-reads the records.  ``read_all`` goes through every block of the directory.
+Read: ``lookup`` finds the blocks of each wanted key by binary search in the directory, reads each of these blocks once, finds the lines
+by binary search in the block, then range-reads the records.  ``read_all`` goes through every block of the directory.
+A directory of more than ``MOST_BLOCKS`` rows is itself cut at ``CUTS`` of its keys, and searched part by part.
 
 Cases: a null html is an empty payload; a null URL is an empty one.  Among rows that repeat both payload and largest page_id all
 are responses.  A null page_id is a response only if no equal payload has an id.  Control characters in URLs are percent-encoded.
-Payloads of any length are written whole.  Empty tables make empty archives.  Extra columns are ignored.
+Payloads of any length are written whole.  Empty tables make empty archives.  Extra columns are ignored.  Ids travel as 64-bit
+whole numbers, null or not.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +39,10 @@ from llm.common import scratch, short_batches, staged, table
 
 FILE_BYTES, BLOCK_LINES, LEVEL, LEAST_BYTES = 64 << 20, 512, 3, 0
 LINES_PER_RANGE = 50_000
-#: Rows of the block directory that go to a task (about 100 bytes each).
-MOST_BLOCKS = 100_000
+#: Rows of the block directory that go to a task, and keys at which a larger directory is cut (about 100 bytes each).
+MOST_BLOCKS, CUTS = 100_000, 50_000
+#: Payload digests that occur again: so many (about 30 bytes each) go to every task, more are joined by a shuffle.
+MOST_SENT = 500_000
 
 _LINE = "key string, page_id long, path string, offset long, length long"
 
@@ -109,49 +114,54 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES)
     folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    # only payloads that occur again need a partner, so the others carry no id
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sha", "keeper")
+    # only payloads that occur again need a partner; who that is, is settled on digests and ids alone
+    first = staged(rows.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sha", "keeper"), "keepers")
+    first = F.broadcast(first) if first.count() <= MOST_SENT else first
     keeper = F.when(F.octet_length("html") >= least, F.col("keeper"))
     ready = rows.join(first, "sha", "left").select("page_id", "url", "html", "sha", F.when(keeper.isNotNull() & ~F.col("page_id").eqNullSafe(keeper), keeper).alias("refers_to"))
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, inside = opened(folder)
         store.create_dir(inside, recursive=True)
         out, path, at, sent = None, "", 0, []
-        for pdf in batches:
-            for page_id, url, html, sha, refers in zip(pdf["page_id"].tolist(), pdf["url"], pdf["html"], pdf["sha"], pdf["refers_to"].tolist(), strict=True):
+        for batch in batches:
+            for page_id, url, html, sha, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "refers_to")], strict=True):
                 if out is None:
                     path, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{inside}/{path}", compression=None)
-                id_, ref = (None if pd.isna(x) else int(x) for x in (page_id, refers))
-                member = record(id_, url, html.encode("utf-8", "surrogatepass"), bytes(sha), ref)
+                member = record(page_id, url, html.encode("utf-8", "surrogatepass"), sha, refers)
                 out.write(member)
-                sent.append((url_key(url), id_, f"{folder}/{path}", at, len(member)))
+                sent.append((url_key(url), page_id, f"{folder}/{path}", at, len(member)))
                 at += len(member)
                 if at >= FILE_BYTES:
                     out.close()
                     out = None
             if sent and out is None:
-                yield _lines(sent)
+                yield _batch(sent, _LINE)
                 sent = []
         if out is not None:
             out.close()
         if sent:
-            yield _lines(sent)
+            yield _batch(sent, _LINE)
 
-    manifest = staged(ready.mapInPandas(put, _LINE), "manifest")
+    manifest = staged(ready.mapInArrow(put, _LINE), "manifest")
     return Archive(manifest, index(manifest, f"{folder}/index"))
 
 
-def _lines(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["key", "page_id", "path", "offset", "length"]).astype({"page_id": "Int64"})
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as Arrow columns of the types of schema; whole numbers never pass through floats."""
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
 def index(manifest: DataFrame, folder: str) -> DataFrame:
     """The block directory: first, last, lines, path, offset, length."""
     ranges = max(1, -(-manifest.count() // LINES_PER_RANGE))
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, inside = opened(folder)
         store.create_dir(inside, recursive=True)
         out, name, at, lines, made = None, "", 0, [], []
@@ -167,20 +177,23 @@ def index(manifest: DataFrame, folder: str) -> DataFrame:
             at += len(block)
             lines.clear()
 
-        for pdf in batches:
-            for key, page_id, path, offset, length in zip(pdf["key"], pdf["page_id"].tolist(), pdf["path"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True):
-                lines.append((key, None if pd.isna(page_id) else int(page_id), path, offset, length))
+        for batch in batches:
+            for line in zip(*[batch.column(c).to_pylist() for c in ("key", "page_id", "path", "offset", "length")], strict=True):
+                lines.append(line)
                 if len(lines) >= BLOCK_LINES:
                     flush()
         if lines:
             flush()
         if out is not None:
             out.close()
-        yield pd.DataFrame(made, columns=["first", "last", "lines", "path", "offset", "length"])
+        yield _batch(made, _BLOCK)
 
     # page_id in the key lets a URL that a third of all captures share be dealt over many ranges
     lined = manifest.repartitionByRange(ranges, "key", "page_id", "path", "offset").sortWithinPartitions("key", "page_id", "path", "offset")
-    return staged(lined.mapInPandas(put, "first string, last string, lines long, path string, offset long, length long"), "directory")
+    return staged(lined.mapInArrow(put, _BLOCK), "directory")
+
+
+_BLOCK = "first string, last string, lines long, path string, offset long, length long"
 
 
 class Ranges:
@@ -216,65 +229,81 @@ def _row(member: bytes, with_payload: bool) -> tuple:
     return number(warc["warc-record-id"]), warc["warc-target-uri"], size, stated, kind, number(warc["warc-refers-to"]) if "warc-refers-to" in warc else None, payload if with_payload else None
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in _RECORD.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
-
-
 def read_all(archive: Archive, with_payload: bool = False) -> DataFrame:
     """Every record, through the index: blocks, then the ranges that their lines name, in the order of the files."""
     spark = archive.directory.sparkSession
     short_batches(spark, 128)
     blocks = max(1, min(10_000, archive.directory.count()))
 
-    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Ranges()
-        for pdf in batches:
-            for path, offset, length in zip(pdf["path"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True):
-                lines = sorted((x for _, x in _block(files, path, offset, length)), key=lambda x: (x[1], x[2]))
-                for k in range(0, len(lines), 64):
-                    yield _frame([_row(files.read(*x[1:]), with_payload) for x in lines[k : k + 64]])
+        for batch in batches:
+            for place in zip(*[batch.column(c).to_pylist() for c in ("path", "offset", "length")], strict=True):
+                yield from _records(files, [x for _, x in _block(files, *place)], with_payload)
 
-    return archive.directory.repartition(blocks).mapInPandas(get, _RECORD)
+    return archive.directory.repartition(blocks).mapInArrow(get, _RECORD)
 
 
-def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The records of given URLs: binary search in the directory, then in the block, then range reads.
+def _records(files: Ranges, lines: list[list], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    lines = sorted(lines, key=lambda x: (x[1], x[2]))
+    for k in range(0, len(lines), 64):
+        yield _batch([_row(files.read(*x[1:]), with_payload) for x in lines[k : k + 64]], _RECORD)
 
-    The directory has one row for BLOCK_LINES captures.  Up to MOST_BLOCKS rows it goes to each task as sorted lists that are
-    searched; a larger one is joined by the range of its keys instead.
-    """
-    spark = urls.sparkSession
-    short_batches(spark, 128)
-    keys = F.pandas_udf(lambda s: s.map(url_key), "string")
-    wanted = urls.select(keys(F.col(url_col)).alias("key")).distinct()
-    few = archive.directory.orderBy("first", "last", "path", "offset").limit(MOST_BLOCKS + 1).collect()
-    if len(few) > MOST_BLOCKS:
-        hits = wanted.join(archive.directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("key", "path", "offset", "length")
-    else:
+
+def blocks_of(directory: DataFrame, wanted: DataFrame, most: int = MOST_BLOCKS, cuts: int = CUTS) -> DataFrame:
+    """key, path, offset, length: the blocks that may hold each of wanted (key, distinct), by binary search in the directory."""
+    hit = "key string, path string, offset long, length long"
+    n = directory.count()
+    if n <= most:
+        few = directory.orderBy("first", "last", "path", "offset").collect()
         firsts, lasts, places = [r["first"] for r in few], [r["last"] for r in few], [(r["path"], r["offset"], r["length"]) for r in few]
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 # blocks are sorted and touch at most in one key, so both lists are in order
-                found = [(k, *p) for k in pdf["key"] for p in places[bisect.bisect_left(lasts, k) : bisect.bisect_right(firsts, k)]]
-                yield pd.DataFrame(found, columns=["key", "path", "offset", "length"])
+                yield _batch([(k, *p) for k in batch.column("key").to_pylist() for p in places[bisect.bisect_left(lasts, k) : bisect.bisect_right(firsts, k)]], hit)
 
-        hits = wanted.mapInPandas(search, "key string, path string, offset long, length long")
+        return wanted.mapInArrow(search, hit)
+    # about so many first keys cut the directory into parts; a block that reaches over a cut is in several parts
+    at = sorted({r["first"] for r in directory.where(F.pmod(F.xxhash64("first", "path", "offset"), F.lit(max(1, n // cuts))) == 0).select("first").collect()})
+    low = F.pandas_udf(lambda s: s.map(lambda k: bisect.bisect_left(at, k)), "int")
+    parts = directory.withColumn("part", F.explode(F.sequence(low("first"), low("last"))))
 
-    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files = Ranges()
-        for pdf in batches:
-            for key, path, offset, length in zip(pdf["key"], pdf["path"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True):
-                lines = _block(files, path, offset, length)
-                at, rows = bisect.bisect_left(lines, key, key=lambda x: x[0]), []
-                while at < len(lines) and lines[at][0] == key:
-                    rows.append(_row(files.read(*lines[at][1][1:]), True))
+    def search_part(wanted_: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values(["first", "last", "path", "offset"])
+        firsts, lasts, places = blocks["first"].tolist(), blocks["last"].tolist(), list(zip(blocks["path"], blocks["offset"].tolist(), blocks["length"].tolist(), strict=True))
+        found = [(k, *p) for k in wanted_["key"] for p in places[bisect.bisect_left(lasts, k) : bisect.bisect_right(firsts, k)]]
+        return pd.DataFrame(found, columns=["key", "path", "offset", "length"])
+
+    return wanted.withColumn("part", low("key")).groupBy("part").cogroup(parts.groupBy("part")).applyInPandas(search_part, hit)
+
+
+def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", with_payload: bool = True, most: int = MOST_BLOCKS) -> DataFrame:
+    """The records of given URLs: binary search in the directory, then in the block, then range reads."""
+    spark = urls.sparkSession
+    short_batches(spark, 128)
+    keys = F.pandas_udf(lambda s: s.map(url_key, na_action=None), "string")
+    wanted = urls.select(keys(F.col(url_col)).alias("key")).distinct()
+    # the keys of a block meet in one task, so that it is read once
+    hits = blocks_of(archive.directory, wanted, most).repartition("path", "offset").sortWithinPartitions("path", "offset", "key")
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, place, block = Ranges(), None, []
+        for batch in batches:
+            lines = []
+            for key, *here in zip(*[batch.column(c).to_pylist() for c in ("key", "path", "offset", "length")], strict=True):
+                if here != place:
+                    place, block = here, _block(files, *here)
+                at = bisect.bisect_left(block, key, key=lambda x: x[0])
+                while at < len(block) and block[at][0] == key:
+                    lines.append(block[at][1])
                     at += 1
-                if rows:
-                    yield _frame(rows)
+            yield from _records(files, lines, with_payload)
 
-    return hits.mapInPandas(get, _RECORD)
+    return hits.mapInArrow(get, _RECORD)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_all(write(table(spark, sf_dir, "pages"))).drop("payload", "url")
+    """Every page by its URL, through the index."""
+    pages = table(spark, sf_dir, "pages")
+    return lookup(write(pages), pages, with_payload=False).drop("payload", "url")

@@ -2,8 +2,8 @@
 
 1. A document's shingles are hashed with one 64-bit function; its ``k`` smallest values are its sketch.  Documents with
    the same shingle set form one class, so exact copies meet only once, whatever their number.
-2. Inverted lists of retained values generate overlaps.  Two classes that reach the threshold share at least
-   ``min_overlap`` retained values, so each class lists only the rarest ``k - min_overlap + 1`` of its own: values of
+2. Inverted lists of retained values generate overlaps.  Two classes that reach the threshold share at least ``m``
+   retained values (``least_shared``), so each class lists only the rarest ``k - m + 1`` of its own: values of
    passages that many documents share are left out of the lists first.
 3. In a list, all members meet the two leaders (smallest id; most widely shared values), never each other.  Linked
    classes merge into components; then the members of a list that are not in its largest component meet members of
@@ -14,6 +14,9 @@
    bounds, now exact, decide which of them meet.
 4. The sketch of the union estimates the similarity of a pair and filters; the full hashed sets confirm.
 
+Classes of at most ``k`` shingles are compared by their whole sets, so none of their links is lost.  For larger ones the sketches are a
+sample: a linked pair shares fewer than ``m`` values, and is missed, with a chance of at most ``MISS``.
+
 Cases: a null text, or one without words, has no shingles and links with nothing.  A text with fewer than ``words``
 words is one shingle.  Repeated rows are one class.  Rows that share a doc_id but not the text count as one node.  A row
 with a null doc_id gets a null component and is not kept.  An empty table gives an empty result.  Only doc_id and text are
@@ -22,6 +25,7 @@ read, so extra columns do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +36,10 @@ from pyspark.sql import functions as F
 
 from llm.common import short_batches, staged, table
 
-#: Retained values; fewest that two linked classes with more than SKETCH shingles share (a similarity of 0.85 or 0.8 gives
-#: 29.4 and 28.4 on average, with deviations of 1.5 and 1.8).
-SKETCH, MIN_OVERLAP = 32, 19
+#: Retained values, and the chance that a linked pair of classes with more than SKETCH shingles may be missed with.
+SKETCH, MISS = 32, 1e-7
 #: Pairs from one list beyond which its members are listed by their full sets.
 WIDE = 4096
-#: Below the threshold by so much, in similarity, an estimate from SKETCH values still passes (about 5 deviations).
-SLACK = 0.32
 #: Most bits of a filter of wanted ids (32 MB on the driver and in each Python worker), those of one of its blocks, and bits
 #: for each id.  More ids than that are joined instead.
 FILTER_BITS, BLOCK_BITS, BITS_AN_ID = 1 << 28, 1 << 15, 16
@@ -46,6 +47,20 @@ FILTER_BITS, BLOCK_BITS, BITS_AN_ID = 1 << 28, 1 << 15, 16
 CACHED_WORDS = 1 << 16
 
 
+def least_shared(percent: int, miss: float = MISS) -> int:
+    """The most retained values of a union that two classes may be asked to share, so that a linked pair is missed with a chance of at most miss.
+
+    Each of the SKETCH smallest hashes of a union is common with the pair's similarity, and is then retained by both, also where one
+    contains the other; without replacement, so the binomial tail is an upper bound.
+    """
+    j, tail = percent / 100.0, 0.0
+    for m in range(SKETCH + 1):
+        tail += math.comb(SKETCH, m) * j**m * (1 - j) ** (SKETCH - m)
+        if tail > miss:
+            return max(1, m)
+    return SKETCH
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -127,21 +142,25 @@ def _as_longs(sets: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the whole set), sketch (its SKETCH smallest values, as signed longs)."""
+    """doc_id, n_shingles, set_key (digest of the whole set), sketch (its SKETCH smallest values, as signed longs).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only texts go to Python: ids, null or not, stay whole numbers.
+    """
+
+    @F.pandas_udf("n_shingles long, set_key binary, sketch array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         known: dict[bytes, int] = {}
-        for pdf in batches:
+        for texts in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in texts:
                 h = shingle_hashes(text, words, known)
                 key = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-                rows.append((doc_id, len(h), key, h[:SKETCH].view(np.int64) if len(h) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sketch"]).astype({"doc_id": "Int64"})
+                rows.append((len(h), key, h[:SKETCH].view(np.int64) if len(h) else None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text")).alias("x")).select("doc_id", "x.n_shingles", "x.set_key", "x.sketch")
 
 
 def _lists(classes: DataFrame, percent: int, whole: bool = False) -> DataFrame:
@@ -157,7 +176,7 @@ def _lists(classes: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     # the largest partner of a small set drops what it has over SKETCH; smaller partners drop less than they ask for less
     largest = F.floor(F.col("n") * 100 / F.lit(float(percent)))
     beside = F.ceil((F.col("n") + largest) * percent / F.lit(100.0 + percent)) - F.greatest(largest - SKETCH, F.lit(0))
-    least = all_of_them if whole else F.when(F.col("n") <= SKETCH, F.least(all_of_them, beside)).otherwise(F.lit(MIN_OVERLAP))
+    least = all_of_them if whole else F.when(F.col("n") <= SKETCH, F.least(all_of_them, beside)).otherwise(F.lit(least_shared(percent)))
     own = entries.join(shared, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum("df").alias("weight"))
     # values that nobody else has are the rarest: they take the first places of a class, and list nothing
     alone = held - F.size("found")
@@ -217,7 +236,7 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
     shared = F.size(F.array_intersect("sa", "sb"))
     exact = 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
-    return both.where(F.when(whole, exact).otherwise(F.size(common) >= (percent / 100.0 - SLACK) * F.size(union))).select("a", "b")
+    return both.where(F.when(whole, exact).otherwise(F.size(common) >= F.lit(least_shared(percent)))).select("a", "b")
 
 
 def _unsigned(name: str):

@@ -1,63 +1,80 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made from a bounded sample of its labelled texts.  A text
+Each language has a zstandard raw-content dictionary of at most ``DICT_BYTES``: pieces of its labelled texts, drawn by a hash
+from the whole texts of a bounded sample of rows, one of each text first, then a second one, until the dictionary is full.  A text
 belongs to the language whose dictionary makes it smallest.  Whole texts are used: they are normalised, cut into
 pieces of ``CHUNK`` bytes, and the compressed sizes of all pieces are summed.  Where the sizes lie close together, by less than
 ``CLOSE`` bytes, the text is compressed again by zstandard's optimal parser, which finds matches of three letters.
 
+Letters are those of Unicode (categories L, with their combining marks M); digits, fractions and numbers in circles are none.
+
 Cases: a null text, or one without letters, gets ``und`` with score 0.  With no labelled rows at all every text is
-``und``.  Equal sizes go to the language with more labelled rows, then to the smaller name.  Repeated rows are scored
+``und``; an empty table gives an empty result.  A language whose labelled texts hold no letters keeps a dictionary of blanks.  Equal sizes go to the language with more labelled rows, then to the smaller name.  Repeated rows are scored
 each on its own.  Extra columns pass through untouched.  A null doc_id is never trained on and never held out.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import fresh, held_out, short_batches, table
 
 CHUNK = 4096
-#: Bytes of dictionary for a language, labelled rows looked at for it, and characters taken of one of them.
-DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 96 * 1024, 160, 4096
+#: Bytes of dictionary for a language, labelled rows drawn for it (about), and characters of a piece.
+DICT_BYTES, SAMPLE_DOCS, PIECE = 96 * 1024, 160, 1024
+#: zstandard takes no shorter raw dictionary.
+LEAST_DICT = 8
 #: A lead of fewer bytes is checked by the slower compressor.
 CLOSE = 40
 #: Nats that a byte of difference counts; a posterior below REJECT_BELOW means the margin is too narrow.
 NATS_PER_BYTE, REJECT_BELOW = 1.4, 0.65
 UNDETERMINED = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normalise(text: str | None) -> bytes:
     """Lower-case letters with single spaces; empty if there is no letter."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text and _LETTER.search(text) else b""
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes, float]]:
     """(language, dictionary, nats of its prior), the most frequent language first.
 
     Reads doc_id, text and lang of rows that are not held out.  The sample is bounded by sample_docs rows for a
-    language (about; chosen by a hash of doc_id) and SAMPLE_CHARS characters of each.
+    language (about; chosen by a hash of doc_id), and what comes to the driver by dict_bytes for each language.
     """
+    short_batches(docs.sparkSession)
     labelled = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / n))]), F.col("lang"))
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.select("lang", at.alias("at"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.col("at") < share).collect()
+    chosen = labelled.withColumn("at", at).where(F.col("at") < share).distinct()
+    cut = chosen.select("lang", "doc_id", "at", F.posexplode(F.regexp_extract_all("text", F.lit(f"[\\s\\S]{{1,{PIECE}}}"), F.lit(0))).alias("i", "piece"))
+    mixed = F.xxhash64("doc_id", "i", "piece", F.lit(29))
+    turn = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy(mixed, "i", "piece"))
+    first = Window.partitionBy("lang").orderBy("turn", "at", "doc_id", mixed, "i", "piece")
+    # pieces beyond the bytes of a dictionary are not collected; its last piece is cut to fit
+    size = F.sum(F.octet_length("piece")).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = cut.withColumn("turn", turn).where(F.col("turn") * PIECE <= dict_bytes + PIECE).withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < dict_bytes)
+    pieces: dict[str, list] = {}
+    for r in drawn.select("lang", "before", "piece").collect():
+        pieces.setdefault(r["lang"], []).append((r["before"], normalise(r["piece"])))
     model = []
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        texts = dict.fromkeys(normalise(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["at"], r["doc_id"])))
-        # the nearest bytes cost least to refer to, so what was taken first goes last
-        model.append((lang, b" ".join(reversed(list(texts)))[-dict_bytes:], -math.log(counts[lang] / sum(counts.values()))))
-    return [x for x in model if len(x[1]) >= 8]
+        texts = dict.fromkeys(x for _, x in sorted(pieces.get(lang, [])))
+        # the nearest bytes cost least to refer to, so what was drawn first goes last
+        model.append((lang, b" ".join(reversed(list(texts)))[-dict_bytes:].rjust(LEAST_DICT), -math.log(counts[lang] / sum(counts.values()))))
+    return model
 
 
 def classify(text: str | None, engines: list) -> tuple[str, float, bool]:

@@ -226,10 +226,10 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     numbered = count(m.rows.where("size > 0"), "sid", "size").select(F.col("doc_id").alias(z), F.col("sid").alias(s), F.col("start").alias(b), k)
     taken = m.pieces().groupBy("doc_id", "sid", "start", "size", "turn").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     taken = taken.join(numbered, F.col("doc_id").eqNullSafe(F.col(z)) & (F.col("sid") == F.col(s)) & (F.col("start") == F.col(b))).drop(z)
-    r, n = fresh(docs, "ranges"), fresh(docs, "size")
+    r, n, words, nth = (fresh(docs, x) for x in ("ranges", "size", "words", "nth"))
     taken = taken.select(F.col("doc_id").alias(z), k, F.col("ranges").alias(r), F.col("size").alias(n))
-    whole = count(docs.withColumn(n + "x", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).where(f"`{n}x` > 0"), F.col("source").asc_nulls_last(), f"{n}x")
-    out = whole.withColumnRenamed(k, k + "x").join(taken, F.col("doc_id").eqNullSafe(F.col(z)) & (F.col(k + "x") == F.col(k)))
+    whole = count(docs.withColumn(words, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).where(F.col(words) > 0), F.col("source").asc_nulls_last(), words)
+    out = whole.withColumnRenamed(k, nth).join(taken, F.col("doc_id").eqNullSafe(F.col(z)) & (F.col(nth) == F.col(k)))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, size: pd.Series, ranges: pd.Series) -> pd.Series:

@@ -75,22 +75,45 @@ def test_exact_topk(spark, vectors):
     assert duckdb.sql(ORACLE_SQL["op2_exact_topk"].replace("FROM embeddings", "FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM embeddings)")).fetchall()
 
 
+def recall_of(rows, x, k=10):
+    """The share of true neighbours that were found, and that every row is right."""
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    hits = total = 0
+    for q in (i for i in x if i % 100 == 0):
+        best = sorted((float(np.sqrt(((x[c] - x[q]) ** 2).sum())), c) for c in x if c != q and len(x[c]) == len(x[q]))[:k]
+        got = sorted(by.get(q, []))
+        assert [n for n, _, _ in got] == list(range(1, len(got) + 1)) and [y[1:] for y in got] == sorted(y[1:] for y in got)
+        assert all(abs(s - float(np.sqrt(((x[v] - x[q]) ** 2).sum()))) < 1e-12 and v != q for _, s, v in got)
+        hits, total = hits + len({v for _, _, v in got} & {v for _, v in best}), total + len(best)
+    return hits / total
+
+
 def test_cross_polytope(spark, vectors):
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(i, v, 7) for i, v in vectors], "vec_id long, embedding array<float>, score int")
     x = {i: np.array(v, np.float32).astype(float) for i, v in vectors if v and None not in v and np.isfinite(v).all() and np.any(v)}
-    hits = total = 0
-    for chunk in (4096, 30):
-        by: dict = {}
-        for r in cross_polytope.search(df, chunk=chunk).collect():
-            by.setdefault(r["query_id"], []).append((r["score"], r["vec_id"], r["rank"]))
-        for q in (i for i in x if i % 100 == 0):
-            best = sorted((float(np.sqrt(((x[c] - x[q]) ** 2).sum())), c) for c in x if c != q and len(x[c]) == len(x[q]))[:10]
-            got = [(s, v) for s, v, _ in sorted(by.get(q, []), key=lambda y: y[2])]
-            assert got == sorted(got)
-            hits, total = hits + len({v for _, v in got} & {v for _, v in best}), total + len(best)
-            if chunk == 4096:
-                assert [v for _, v in got] == [v for _, v in best]
-    assert hits / total >= 0.9
+    for block in (4096, 1):
+        assert recall_of(cross_polytope.search(df, block=block, wave_bytes=1 << 20 if block > 1 else 100).collect(), x) >= 0.9
+    assert cross_polytope.search(df.limit(0)).count() == 0
+    assert cross_polytope.search(df.where("vec_id % 100 > 0")).count() == 0
+
+
+def test_cross_polytope_recall_where_buckets_are_few(spark):
+    """64 dimensions have 128 axes and more, so that probes leave most buckets out; every result comes from hashed tables."""
+    rng = np.random.default_rng(6)
+    for spread in (1.0, 0.3):
+        centres = rng.normal(size=(40, 64))
+        x = centres[rng.integers(0, 40, 5000)] * (spread < 1) + spread * rng.normal(size=(5000, 64))
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+        assert recall_of(cross_polytope.search(df).collect(), dict(enumerate(x))) >= 0.9
+
+
+def test_cross_polytope_ties_and_large_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(big + k, [1.0, 2.0]) for k in range(30)] + [(100, [1.0, 2.0]), (7, [1.0, 2.0]), (200, [5.0, 5.0])]
+    got = sorted((r["rank"], r["vec_id"]) for r in cross_polytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 100").collect())
+    assert got == [(n + 1, v) for n, v in enumerate([7, *range(big, big + 9)])]
 
 
 def test_mixing(spark, docs, rows):
@@ -271,8 +294,8 @@ def test_html_template_of_marked_pages(spark):
 def test_cross_polytope_hashes_small_tables(spark):
     x = np.random.default_rng(4).normal(size=(300, 64))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
-    code = cross_polytope.codes(x, 0)
-    got = {(r["query_id"], r["vec_id"]) for r in cross_polytope.search(df, k=300, tables=1, most=1).collect()}
+    code = cross_polytope.codes(x, 0, 1)
+    got = {(r["query_id"], r["vec_id"]) for r in cross_polytope.search(df, k=300, tables=1, hashes=1, most=1).collect()}
     assert got == {(q, i) for q in (0, 100, 200) for i in range(300) if i != q and code[i] == code[q]}
 
 
@@ -313,3 +336,240 @@ def test_null_ids_pass_both_stages(spark):
     words = m.pieces().agg(F.sum(F.col("end") - F.col("begin"))).first()[0]
     out = mixing.mixed_documents(kept, block=16, shard=8).collect()
     assert sum(len(r["text"].split()) for r in out) == words and {str(r["doc_id"]) for r in out} == {"None", "7", "8"}
+
+
+def test_html_hostile_pages_take_time_in_proportion():
+    import time
+
+    n = 300_000
+    pages = ["<a " * (n // 3), "<b></i>" * (n // 7), "<div>" * (n // 5), '<a ">' * (n // 5), "<" * n, "<td><table>" + "<b>" * (n // 6) + "<tr></tr>" * (n // 18), "<li><b>" * (n // 7), '<a ' + 'class=" ' * (n // 8) + ">", "<p><div>" * (n // 8)]
+    for page in pages:
+        began = time.process_time()
+        root = html_extract.parse(page)
+        html_extract.subtrees(root), html_extract.text_of(root)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_html_classes_count_as_whole_tokens(spark):
+    page = '<body><main><div class="side-effects">About side effects</div><div class="cookie-banner">x</div><div id="site-footer">y</div><p class="ad">z</p><p class="address-label">Road</p></main></body>'
+    assert html_extract.text_of(html_extract.parse(page)) == "About side effects\nRoad"
+
+
+def test_html_template_counts_against_brute_force(spark):
+    """Every subtree of every page by its text, counted by host without Spark."""
+    rng = random.Random(8)
+    parts = [f"<div><span>t{k}</span><b>u{k}</b></div>" for k in range(6)]
+    rows = [(i, f"http://h{i % 3}.net/{i}", "<body>" + "".join(rng.sample(parts, 3)) + f"<p>own {i}</p></body>") for i in range(40)]
+    seen: dict = {}
+    for _, url, page in rows:
+        for k, part in enumerate(parts):
+            if part in page:
+                seen[url[7:9], k] = seen.get((url[7:9], k), 0) + 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    for i, url, page in rows:
+        order = sorted((page.index(p), k) for k, p in enumerate(parts) if p in page)
+        left = [f"t{k}u{k}" for _, k in order if seen[url[7:9], k] < html_extract.MIN_PAGES]
+        assert got[i] == "\n".join([*left, f"own {i}"])
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+BIG = (1 << 53) + 1
+
+
+def test_large_ids_next_to_null_ones(spark):
+    pages = [(BIG, "http://a.net/", "<p>same"), (BIG + 2, "http://b.net/", "<p>same"), (None, "http://c.net/", "<p>same"), (5, None, None)]
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc_index.read_all(warc_index.write(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
+    assert got == {(BIG, "revisit", BIG + 2), (BIG + 2, "response", None), (None, "revisit", BIG + 2), (5, "response", None)}
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = frame(spark, [(BIG, text, "en", "s"), (BIG + 2, text, "en", "s"), (None, text, "en", "s"), (BIG + 4, "other words here", "en", "s")])
+    near = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect()}
+    assert near == {(BIG, BIG, True), (BIG + 2, BIG, False), (None, BIG, False), (BIG + 4, BIG + 4, True)}
+    assert sorted(str(r["doc_id"]) for r in near_dup.keep_first_of_group(docs).collect()) == sorted([str(BIG), str(BIG + 4), "None"])
+    labels = spark.createDataFrame([(BIG, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in toxicity.scores(docs, toxicity.learn(docs, labels)).collect()} == {BIG, BIG + 2, None, BIG + 4}
+
+
+def test_warc_lookup_by_parts_of_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "BLOCK_LINES", 4)
+    rows = [(i, f"http://h{i % 37}.example.com/{i % 11}", f"<p>{i}") for i in range(300)] + [(1000 + i, "http://hot.example.com/", f"<p>hot {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc_index.write(df)
+    assert archive.directory.count() >= 90
+    urls = spark.createDataFrame([("http://hot.example.com/",), ("http://h3.example.com/3",), ("http://none.example.com/",)], "url string")
+    want = sorted(i for i, u, _ in rows if u in ("http://hot.example.com/", "http://h3.example.com/3"))
+    for most in (1000, 3):
+        assert sorted(r["page_id"] for r in warc_index.lookup(archive, urls, most=most).collect()) == want
+        assert sorted(r["page_id"] for r in warc_index.lookup(archive, df, most=most).collect()) == sorted(i for i, _, _ in rows)
+
+
+def test_sql_of_operators(spark, rows):
+    pages = spark.createDataFrame([(1, "u", "<p>same"), (2, "u", "<p>same"), (3, None, None), (9, "x", "\u00fcn"), (10, "x", "")], "page_id long, url string, html string").toPandas()  # noqa: F841
+    table_ = spark.createDataFrame([(1, "u", "<p>same"), (2, "u", "<p>same"), (3, None, None), (9, "x", "\u00fcn"), (10, "x", "")], "page_id long, url string, html string")
+    got = warc_index.lookup(warc_index.write(table_), table_, with_payload=False).drop("payload", "url").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(ORACLE_SQL["op6_warc"]).fetchall())
+    unique = [r for k, r in enumerate(rows) if r[0] not in [x[0] for x in rows[:k]]]
+    documents = frame(spark, unique).toPandas()  # noqa: F841
+    want = duckdb.sql(ORACLE_SQL["op10_near_dup"]).fetchall()
+    assert sorted(map(tuple, near_dup.near_duplicates(frame(spark, unique), 3, 85).collect())) == sorted(want)
+
+
+def test_language_id_against_brute_force(spark, docs, rows):
+    """Every whole text compressed anew with each language's dictionary, by both compressors."""
+    import zstandard as zstd
+
+    model = language_id.learn(docs)
+    out, c = language_id.predict(docs, model)
+    got = {(r["doc_id"], r["text"]): r[c]["lang_pred"] for r in out.collect()}
+
+    def size(body, data, level, **more):
+        params = zstd.ZstdCompressionParameters.from_level(level, source_size=language_id.CHUNK, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False, **more)
+        z = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+        return sum(len(z.compress(body[i : i + language_id.CHUNK])) for i in range(0, len(body), language_id.CHUNK))
+
+    for i, text, *_ in rows:
+        body = language_id.normalise(text)
+        if not body:
+            assert got[i, text] == "und"
+            continue
+        for level, more in ((3, {}), (19, {"min_match": 3, "strategy": zstd.STRATEGY_BTULTRA2})):
+            cost = [language_id.NATS_PER_BYTE * size(body, data, level, **more) + prior for _, data, prior in model]
+            if sum(x < min(cost) + language_id.NATS_PER_BYTE * language_id.CLOSE for x in cost) == 1:
+                break
+        assert got[i, text] == model[cost.index(min(cost))][0]
+
+
+def test_language_id_of_letters(spark):
+    texts = ["\u00bd \u00b2 \u2460 12", "\u0928\u092e\u0938\u094d\u0924\u0947 \u0926\u0941\u0928\u093f\u092f\u093e", "late " * 3000 + "words"]
+    df = frame(spark, [(k, t, lang, "s") for k, (t, lang) in enumerate([(texts[1] * 20, "hi"), (texts[2], "en"), ("", "xx"), (texts[0], None), (texts[1], None), (texts[2], None)])])
+    model = language_id.learn(df)
+    assert {x[0] for x in model} == {r["lang"] for r in df.where("lang is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    assert all(language_id.LEAST_DICT <= len(x[1]) <= language_id.DICT_BYTES for x in model)
+    out, c = language_id.predict(df, model)
+    got = {r["doc_id"]: r[c]["lang_pred"] for r in out.collect()}
+    assert got[3] == "und" and language_id.normalise(texts[1]).decode() == texts[1]
+    # the end of a long text is in the dictionary as well as its beginning
+    assert any(b"words" in x[1] for x in model if x[0] == "en") or zlib.crc32(b"1") % 4 == 2
+
+
+def test_accuracy_on_held_out_rows(spark):
+    """Language and toxicity as the table marks them, on rows that were never learned from."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    got = [r for r in language_id.op1_language_id(spark, sf).collect() if r["held_out"] and r["lang_pred"] != "und"]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.97
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r["predicted"], toxic[r["doc_id"]]) for r in toxicity.op8_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
+    assert sum(p and t for p, t in held) / sum(t for _, t in held) > 0.7 and sum(p == t for p, t in held) / len(held) > 0.9
+
+
+def test_toxicity_cosines_against_brute_force(spark):
+    """Neighbours of many texts by plain dictionaries over all terms; the vectors are made here."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 5, 9]))) for _ in range(300)]
+    text = lambda bad: " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 60]))) + " vilexa" * bad
+    rows = [(i, text(i % 5 == 0), "en", "s") for i in range(500)]
+    df, labels = frame(spark, rows), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    index = toxicity.learn(df, labels)
+    tf = lambda t: Counter(w[: toxicity.STEM] for w in t.lower().split())
+    known = {i: tf(t) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    df_all = Counter(w for _, t, *_ in rows for w in tf(t))
+    label = {i: int(i % 5 == 0) for i in known}
+    n = Counter(label.values())
+
+    def relevance(w):
+        seen = {y: sum(w in known[i] for i in known if label[i] == y) for y in (0, 1)}
+        share = (seen[0] + seen[1]) / (n[0] + n[1])
+        return max(0.0, sum(2 * got * math.log(got / (n[y] * p)) for y in (0, 1) for got, p in ((seen[y], share), (n[y] - seen[y], 1 - share)) if got and p))
+
+    weight = {w: (math.log(501 / (1 + df_all[w])) + 1) * relevance(w) for w in set().union(*known.values())}
+
+    def unit(counts):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in counts.items() if weight.get(w)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    examples = {i: unit(c) for i, c in known.items()}
+    got = {r["doc_id"]: [(e["doc_id"], e["cosine"]) for e in r["evidence"]] for r in toxicity.scores(df, index).collect()}
+    for i, t, *_ in rows[:60]:
+        q = unit(tf(t))
+        cos = sorted(((sum(x * v.get(w, 0.0) for w, x in q.items()), j) for j, v in examples.items()), key=lambda y: (-round(y[0], 9), y[1]))[: toxicity.NEIGHBOURS]
+        assert np.allclose([c for _, c in got[i]], [c for c, _ in cos if c > 1e-11], atol=1e-9)
+
+
+def test_secrets_of_labelled_findings_not_made_by_the_trainer(spark):
+    """Shapes and sentences that the trainer's rules never give; held-out precision and recall."""
+    rng = random.Random(21)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    secret = [lambda: f"export STRIPE_API_KEY={token(32)} before you start", lambda: f'"auth_token": "{token(40)}",', lambda: f"curl -H 'Authorization: Bearer {token(36)}' now", lambda: f"AKIA{token(16).upper()} is the access key of the bot", lambda: f"my password = 'hunter{token(10)}9' do not tell"]
+    harmless = [lambda: f"see https://img.example.org/assets/{token(24)}1/logo.png for it", lambda: f"build-artifact-version-{rng.randrange(10**6)}-release-candidate", lambda: f"commit {hashlib.sha1(token(5).encode()).hexdigest()} fixed it", lambda: f"order number 4{rng.randrange(10**15):015d} was sent", lambda: f"sha256: {hashlib.sha256(token(5).encode()).hexdigest()}"]
+    rows = [(k, rng.choice(secret if k % 2 else harmless)(), "en", "s") for k in range(400)]
+    found = {r["doc_id"] for r in secret_scan.findings(frame(spark, rows), secret_scan.train(spark)).collect() if r["is_secret"]}
+    hits = sum(k % 2 for k in found)
+    assert hits / max(1, len(found)) > 0.8 and hits / 200 > 0.8, (hits, len(found))
+
+
+def test_mix_against_brute_force(spark, docs, rows):
+    """The mix drawn again from its slots: words of each source's stream, block by block, counted one by one."""
+    m = mixing.mix(docs, block=16, shard=8)
+    streams: dict = {}
+    for r in m.rows.collect():
+        for k in range(r["size"]):
+            streams.setdefault(r["sid"], {})[r["start"] + k] = (r["doc_id"], r["start"], r["size"])
+    assert all(sorted(s) == list(range(len(s))) for s in streams.values())
+    taken: dict = {}
+    for slot in m.slots.collect():
+        for k in range(slot["words"]):
+            at = streams[slot["sid"]][slot["block"] * 16 + k]
+            taken[at] = taken.get(at, 0) + 1
+    got = {(r["doc_id"], r["start"], r["size"]): r["n"] for r in m.pieces().groupBy("doc_id", "start", "size").agg(F.sum(F.col("end") - F.col("begin")).alias("n")).collect()}
+    assert got == taken
+    # targets by filling sources step by step until none is above its limit
+    size: dict = {}
+    for _, text, _, source in rows:
+        size[source] = size.get(source, 0) + len((text or "").encode().split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want, full = {}, set()
+    while True:
+        left = 1.5 * sum(size.values()) - sum(2 * size[s] for s in full)
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order) if s not in full}
+        want = {s: 2.0 * size[s] for s in full} | {s: left * w / sum(weight.values()) for s, w in weight.items()}
+        over = {s for s in weight if want[s] > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    assert {r["source"]: r["target"] for r in m.sources.collect()} == pytest.approx(want)
+
+
+def test_empty_tables_and_clashing_names(spark, docs):
+    none = docs.limit(0)
+    assert secret_scan.redacted(none).count() == byte_bpe.tokenised(none).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scores(none, toxicity.learn(none, labels)).count() == 0
+    extra = docs.limit(5)
+    for name in ("n_tokens", "bpe_n_tokens", "token_ids", "decoded", "__size", "__words", "__lid", "score"):
+        extra = extra.withColumn(name, F.lit(1))
+    out = byte_bpe.tokenised(extra)
+    assert len(set(out.columns)) == len(out.columns) == len(extra.columns) + 3 and out.count() == 5
+    both = byte_bpe.decode(byte_bpe.encode(extra), "bpe_token_ids")
+    assert both.where("decoded = 1 and token_ids = 1").count() == 5 and both.where("encode(text, 'utf-8') = bpe_decoded").count() == extra.where("text is not null").count()
+    assert mixing.mixed_documents(extra, block=16, shard=8).columns == extra.columns
+    assert language_id.keep_identified(extra).columns == extra.columns and near_dup.keep_first_of_group(extra).columns == extra.columns
+    clean = secret_scan.redacted(frame(spark, [(1, None, "en", "s"), (2, "plain", "en", "s")]).withColumn("n_chars", F.lit(0).cast("long")))
+    assert [tuple(r)[:2] + (r["n_chars"],) for r in clean.orderBy("doc_id").collect()] == [(1, None, 0), (2, "plain", 0)]
+
+
+def test_long_texts_are_cut_between_pieces():
+    text = "one  two\n three, four's 55 " * 50 + "x" * 300 + " \u00e9t\u00e9 end"
+    parts = list(byte_bpe.segments(text, 40))
+    assert "".join(parts) == text and len(parts) > 20
+    import public_tokenizers as P
+    import regex
+
+    cut = regex.compile(P.PATTERN).findall
+    assert [p for x in parts for p in cut(x)] == cut(text)

@@ -7,6 +7,9 @@
 3. In a shard, a KD-tree by median splits on the widest dimension has a tight bounding box at each node.  The search is
    best-first by the bound of box and query, and ends when no bound reaches the k-th score.
 
+Routing gives ids of queries, which meet their vectors only on the way to a shard.  A shard that more than ``VISITORS`` queries go to
+is met by so many of them at a time: only its own vectors are copied, once for each such block, so that copies grow with the visits.
+
 Shards number at most ``MOST_SHARDS``, so the boxes that tasks hold are bounded (1 kB each at 64 dimensions).
 
 Cases: vectors that are null, empty, or hold a null or non-finite component take no part.  Vectors of another length than the
@@ -163,7 +166,7 @@ def top_k(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, sample:
     parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s, n in over.items() for x in (s, n)]), F.col("shard")), F.lit(1)) if over else F.lit(1)
     cut = placed.select("dim", "key", "ids", F.concat_ws("/", "shard", F.pmod(F.xxhash64("key"), parts)).alias("sid"))
     wanted = queries_of(rows)
-    asked = staged(wanted.select("key").distinct().withColumn("dim", F.size("key")).withColumn("home", F.concat_ws("/", shard("key", "dim"), F.lit(0))), "asked")
+    asked = staged(wanted.select("key").distinct().withColumn("dim", F.size("key")).withColumn("home", F.concat_ws("/", shard("key", "dim"), F.lit(0))).withColumn("query", F.xxhash64("key")), "asked")
 
     best = "key array<long>, score long, vec_id long"
 
@@ -175,14 +178,15 @@ def top_k(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, sample:
         out = [(key, s, -v) for key, one in zip(asked_["key"], found, strict=True) for s, v in one]
         return pd.DataFrame(out, columns=["key", "score", "vec_id"])
 
-    blocks = max(1, -(-asked.count() // VISITORS))
-    spread = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(blocks)).cast("int").alias("block")
-
-    def met(asked_: DataFrame) -> DataFrame:
-        return spread.groupBy("sid", "block").cogroup(asked_.select("key", F.col("least").cast("double").alias("least"), F.col("sid"), block).groupBy("sid", "block")).applyInPandas(search, best)
+    def met(visits: DataFrame) -> DataFrame:
+        """The results of queries in shards. visits: query, least, sid."""
+        many = visits.groupBy("sid").agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITORS)).cast("int").alias("blocks"))
+        spread = cut.join(many, "sid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        block = F.pmod(F.xxhash64("query", F.lit(9)), F.col("blocks")).cast("int").alias("block")
+        sent = visits.join(many, "sid").join(asked.select("query", "key"), "query").select("key", F.col("least").cast("double").alias("least"), "sid", block)
+        return spread.groupBy("sid", "block").cogroup(sent.groupBy("sid", "block")).applyInPandas(search, best)
 
-    home = staged(met(asked.select("key", F.lit(float("-inf")).alias("least"), F.col("home").alias("sid"))), "home")
+    home = staged(met(asked.select("query", F.lit(float("-inf")).alias("least"), F.col("home").alias("sid"))), "home")
     # a k-th score is propagated only where the home shard had k + 1 results
     kth = home.groupBy("key").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).select("key", F.when(F.col("n") > k, F.col("s").cast("double")).otherwise(F.lit(float("-inf"))).alias("least"))
     boxes = _boxes(cut)
@@ -194,11 +198,11 @@ def top_k(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, sample:
                 sids, lo, hi = boxes[d]
                 keys, least = matrix(part["key"]), part["least"].to_numpy()
                 for i, row in enumerate(bounds(keys, lo, hi) >= least[:, None]):
-                    out += [(part["key"].iloc[i], least[i], sids[j]) for j in np.flatnonzero(row).tolist() if sids[j] != part["home"].iloc[i]]
-            yield pd.DataFrame(out, columns=["key", "least", "sid"])
+                    out += [(part["query"].iloc[i], least[i], sids[j]) for j in np.flatnonzero(row).tolist() if sids[j] != part["home"].iloc[i]]
+            yield pd.DataFrame(out, columns=["query", "least", "sid"])
 
-    further = asked.join(kth, "key", "left").select("key", "dim", "home", F.coalesce("least", F.lit(float("-inf"))).alias("least")).mapInPandas(route, "key array<long>, least double, sid string")
-    found = home.unionByName(met(further))
+    further = asked.join(kth, "key", "left").select("query", "key", "dim", "home", F.coalesce("least", F.lit(float("-inf"))).alias("least")).mapInPandas(route, "query long, least double, sid string")
+    found = home.unionByName(met(staged(further, "visits")))
     return ranked(wanted, found, k, F.col("score").desc())
 
 

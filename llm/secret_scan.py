@@ -1,6 +1,6 @@
 """Secret scanning: candidates by patterns, false positives removed by a random forest.  DataFrame functions only.
 
-A candidate is a run of 16 or more token characters with a digit in it, a quoted value assigned to a word such as
+A candidate is a run of 16 or more token characters with a digit in it (an equals sign only ends one, so that a name it is assigned to stays outside), a quoted value assigned to a word such as
 ``password``, or a PEM private key.  The forest looks at its length, character classes and their transitions, coverage by
 dictionary words, path context, and neighbouring words.  It is trained on labelled findings, ``labelled_findings``, made
 by rule: ``TRAIN`` rows, a documented bound.  The fitted trees become one constant, an array of node arrays, which a Column
@@ -23,7 +23,7 @@ from llm.common import fresh, staged, table
 TRAIN, TREES, DEPTH, THRESHOLD = 4000, 15, 6, 0.5
 MARK = "[SECRET]"
 
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+"
 ASSIGNED = r"(?<=[\"'])(?<=(?i:passwo?r?d|pwd|secret|token|api.?key)[\"']?\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{8,}+(?=[\"'])"
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
 CANDIDATE = f"(?:{PEM}|{ASSIGNED}|{RUN})"
@@ -184,11 +184,11 @@ def _secret(x: Column, threshold: float) -> Column:
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with secrets in text replaced by MARK, and n_chars to match; every document stays."""
+    """docs with secrets in text replaced by MARK, and n_chars to match; every document stays, one without a secret as it is, null texts too."""
     out, c = scanned(docs, train(docs.sparkSession))
     kept = F.array_join(F.transform(c, lambda x: F.concat(x["gap"], F.when(_secret(x, threshold), F.lit(MARK)).otherwise(x["value"]))), "")
     text = F.when(F.exists(c, lambda x: _secret(x, threshold)), kept).otherwise(F.col("text"))
     new, had = fresh(out, "text"), docs.columns
     out = out.withColumn(new, text)
-    swap = {"text": F.col(new).alias("text"), "n_chars": F.when(F.col(new) == F.col("text"), F.col("n_chars")).otherwise(F.length(new)).cast("long").alias("n_chars")}
+    swap = {"text": F.col(new).alias("text"), "n_chars": F.when(F.col(new).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(new)).cast("long").alias("n_chars")}
     return out.select(*[swap.get(x, F.col(f"`{x}`")) for x in had])

@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages, each an operator of ``llm``.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's docs, so a stage
+that loses executors only runs its own tasks again.  All but the last return the columns of documents.
+
+Cases, for every stage: an empty table gives an empty one; extra columns stay as they are, and no helper column can meet them; repeated rows
+are rows of their own, but for near duplicates; a null doc_id is an id like others, but is never learned from and never grouped by likeness.
 """
 
 from __future__ import annotations
@@ -17,27 +20,30 @@ from llm.secret_scan import redacted
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier rejects go."""
+    """Documents whose language the classifier rejects go: narrow margins, and null, empty or other texts without a letter."""
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, similarity 0.8)."""
+    """One document of each group of near duplicates stays, the smallest id (five words, similarity 0.8).
+
+    Rows that repeat id and text are one; different texts under one id, or under none, all stay.
+    """
     return keep_first_of_group(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets of any length are replaced by a mark; all documents stay, null texts as they are."""
     return redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a document comes once for each pass that takes words of it."""
+    """Sources in their target shares: a document comes once for each pass that takes words of it; null and blank texts have none."""
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts; a null text has no tokens."""
     return tokenised(docs)
 
 

@@ -93,8 +93,8 @@ def recall_of(rows, x, k=10):
 def test_cross_polytope(spark, vectors):
     df = spark.createDataFrame([(i, v, 7) for i, v in vectors], "vec_id long, embedding array<float>, score int")
     x = {i: np.array(v, np.float32).astype(float) for i, v in vectors if v and None not in v and np.isfinite(v).all() and np.any(v)}
-    for block in (4096, 1):
-        assert recall_of(cross_polytope.search(df, block=block, wave_bytes=1 << 20 if block > 1 else 100).collect(), x) >= 0.9
+    for wave in (cross_polytope.PROBED, 200):
+        assert recall_of(cross_polytope.search(df, wave=wave).collect(), x) >= 0.9
     assert cross_polytope.search(df.limit(0)).count() == 0
     assert cross_polytope.search(df.where("vec_id % 100 > 0")).count() == 0
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quiver.operators import analysis as A
-from quiver.operators.traverse import connected_components, expand
+from quiver.operators.traverse import closure, connected_components, expand, shortest_paths
 
 
 def test_slice_stops_at_the_depth_limit(spark):
@@ -41,3 +41,22 @@ def test_argument_constants_and_patterns(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (1, 2)], "src long, dst long")
     assert {(r["id"], r["component"]) for r in connected_components(edges).collect()} == {(7, 7), (8, 7), (9, 7), (1, 1), (2, 1)}
+
+
+def test_walks_from_nothing_and_to_the_end(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(130)], "src long, dst long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    assert closure(edges, ids(0)).count() == 130  # further than any limit on levels
+    assert closure(edges, ids(500)).count() == closure(edges.limit(0), ids(1)).count() == closure(edges, spark.createDataFrame([], "id long")).count() == 0
+    tree, _ = shortest_paths(edges, ids(120), None)
+    assert {r["u"]: len(r["path"]) for r in tree.collect()} == {k: k - 120 for k in range(120, 131)}
+
+
+def test_propagation_path_stays_on_its_source(spark):
+    flow = spark.createDataFrame([(1, 5, "ASSIGN"), (5, 9, "PARAMETER_PASS"), (2, 9, "FIELD_LOAD"), (3, 2, "FIELD_STORE"), (4, 2, "CAST")], "src long, dst long, kind string")
+    sources = spark.createDataFrame([(1, "constant"), (2, "field"), (3, "constant")], "id long, source_type string")
+    paths = A.propagation_paths(flow, spark.createDataFrame([(9,)], "id long"), sources)
+    got = {r["source"]: (r["depth"], [(s["id"], s["kind"]) for s in r["steps"]]) for r in paths.collect()}
+    assert got == {1: (2, [(1, "ASSIGN"), (5, "PARAMETER_PASS"), (9, None)]), 2: (1, [(2, "FIELD_LOAD"), (9, None)]), 3: (2, [(3, "FIELD_STORE"), (2, "FIELD_LOAD"), (9, None)])}
+    only = A.field_steps(flow, spark.createDataFrame([(2,)], "id long"))
+    assert {(r["src"], r["dst"]) for r in only.collect()} == {(1, 5), (5, 9), (2, 9), (3, 2)}
